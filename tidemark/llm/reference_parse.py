@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.natives import word_count, word_line
 from tidemark.llm.suffix_dedup import with_key
 from tidemark.llm.vectortext import U, grams, mix, pieces, sampled, signed, sliding, word_hashes, words
 from tidemark.llm.worktables import save
@@ -147,13 +148,8 @@ def factor_table(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -
 def reference_dedup(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """A row for each row of documents: doc_id, n_words, n_removed, kept_sha256, n_factors, starts, ends, refs."""
     parsed = factor_table(documents, window)
-    plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    whole = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), plain.alias("plain")).select(
-        "doc_id",
-        "key",
-        F.when(F.col("plain") == "", 0).otherwise(F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"),
-        F.sha2(F.col("plain").cast("binary"), 256).alias("sha"),
-    )
+    whole = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), word_line("text").alias("plain"))
+    whole = whole.select("doc_id", "key", word_count("plain").alias("n_words"), F.sha2(F.col("plain").cast("binary"), 256).alias("sha"))
     none = F.array().cast("array<long>")
     return whole.join(parsed, "key", "left").select(
         "doc_id",
