@@ -51,7 +51,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     before = level.rowsBetween(W.unboundedPreceding, -1)
     after = level.rowsBetween(W.currentRow, W.unboundedFollowing)
     s = s.withColumn("at", (F.sum("source_size").over(whole) * F.lit(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
-    s = s.withColumn("line", F.min(F.when(F.col("at") <= F.col("cap") / F.col("w"), F.col("at"))).over(whole))
+    s = s.withColumn("first", F.when(F.col("at") <= F.col("cap") / F.col("w"), F.row_number().over(level)))
+    s = s.withColumn("line", F.min_by("at", "first").over(whole))
     return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("line") * F.col("w"), F.col("cap"))).alias("target"))
 
 
