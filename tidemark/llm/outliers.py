@@ -33,10 +33,10 @@ LEAST = 200
 ACCURACY = 1000
 #: squared distance beyond which a row is rejected, with NAMES statistics
 CUTOFF = 120.0
-#: no statistic's standard deviation counts as less than this
-FLOOR = 0.02
 CHI2_MEDIAN = {1: 0.455, 2: 1.386, 3: 2.366, 4: 3.357, 5: 4.351, 6: 5.348}
 NAMES = ("length", "symbols", "upper", "copies", "stops")
+#: no statistic's standard deviation counts as less than this; a text may well repeat a line or hold a few signs
+FLOORS = (0.05, 0.05, 0.05, 0.2, 0.05)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stops")
 
 _SYMBOL, _UPPER, _STOP = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:!?"))
@@ -117,7 +117,7 @@ def _estimates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cov = np.zeros((p, p))
             cov[upper] = np.asarray(ss) / max(n, 1)
             cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-            cov[np.diag_indices(p)] = np.maximum(cov.diagonal(), 0) + FLOOR**2
+            cov[np.diag_indices(p)] = np.maximum(cov.diagonal(), 0) + np.square(FLOORS)
             means.append(mean.tolist())
             inverses.append(np.linalg.inv(cov).ravel().tolist())
         yield pd.DataFrame({"cell": frame["cell"], "mean": means, "inverse": inverses})
@@ -142,7 +142,7 @@ def concentrated(rows: DataFrame) -> DataFrame:
     p = range(len(NAMES))
     middle = save(rows.groupBy("cell").agg(F.array(*(F.percentile_approx(F.col("x")[i], 0.5, ACCURACY) for i in p)).alias("mean")), "medians")
     mads = rows.join(middle, "cell").groupBy("cell", "mean").agg(F.array(*(F.percentile_approx(F.abs(F.col("x")[i] - F.col("mean")[i]), 0.5, ACCURACY) for i in p)).alias("mad"))
-    flat = [F.pow(1.4826 * F.col("mad")[i] + FLOOR, F.lit(-2.0)) if i == j else F.lit(0.0) for i in p for j in p]
+    flat = [F.pow(1.4826 * F.col("mad")[i] + FLOORS[i], F.lit(-2.0)) if i == j else F.lit(0.0) for i in p for j in p]
     now = save(mads.select("cell", "mean", F.array(*flat).alias("inverse")), "start")
     for _ in range(STEPS):
         far = rows.join(now, "cell").select("cell", "x", distance().alias("d"))
