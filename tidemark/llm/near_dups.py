@@ -14,7 +14,8 @@ there). A class with fewer than NEED values in such lists consists of frequent p
 copies; those classes go through their long lists round by round: each list pairs its members with one of them,
 confirmed links merge, and lists inside one component end. What then still spans components is compared in
 full, so no link is lost to the limits. Counts are combined before the shuffle, joins with them read written
-tables that adaptive execution can split.
+tables that adaptive execution can split. Texts and sketches that no pair names are screened out by a bitmap of
+fixed size before they would be shuffled.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components, extended
+from tidemark.llm.natives import screened
 from tidemark.llm.vectortext import LOWER, U, grams, mix, pieces, prefix_hash, signed, substring_hash, word_hashes, words
 from tidemark.llm.worktables import save
 
@@ -113,7 +115,8 @@ def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose union sketch doesn't rule out the threshold."""
-    both = _with_both(pairs, classes, "sketch")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    both = _with_both(pairs, screened(classes, named, "node"), "sketch")
     union = F.slice(F.array_sort(F.array_union("x", "y")), 1, K)
     shared = F.size(F.array_intersect(union, F.array_intersect("x", "y")))
     return both.where(shared >= SURE * F.size(union)).select("a", "b")
@@ -140,8 +143,8 @@ class _Linker:
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         keys = save(self.classes.select("node", "key").join(nodes, "node"), "named")
-        texts = self.rows.select("key", "text").join(keys, "key").select("node", "text")
-        return save(texts.mapInArrow(_set_batches(self.size), "node long, members array<long>").dropDuplicates(["node"]), "sets")
+        texts = screened(self.rows.select("key", "text"), keys, "key").join(keys, "key").dropDuplicates(["key"])
+        return save(texts.select("node", "text").mapInArrow(_set_batches(self.size), "node long, members array<long>"), "sets")
 
     def possible(self, nodes: DataFrame) -> DataFrame:
         """The nodes that can reach the threshold with another one of nodes: enough of their shingles occur in others."""
