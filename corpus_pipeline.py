@@ -16,12 +16,10 @@ from tidemark.llm.near_dups import near_duplicates
 from tidemark.llm.pii import find_pii, masked
 from tidemark.llm.worktables import save
 
-KEY = F.xxhash64("doc_id", "text")
-
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """docs without the rows whose key is in keys(key)."""
-    return docs.withColumn("_key", KEY).join(save(keys.select(F.col("key").alias("_key")).distinct(), "dropped"), "_key", "left_anti").drop("_key")
+    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(save(keys.select(F.col("key").alias("_key")).distinct(), "dropped"), "_key", "left_anti").drop("_key")
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
