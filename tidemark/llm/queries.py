@@ -41,7 +41,7 @@ def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages count as labelled by the labels row of their own number; bad is quality 0."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
-    return filter_urls(table(spark, sf_dir, "pages"), labels)
+    return filter_urls(table(spark, sf_dir, "pages"), labels).withColumn("badness", F.round("badness", 9))
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"), quality_weights(table(spark, sf_dir, "labels")))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
