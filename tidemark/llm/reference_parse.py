@@ -12,7 +12,8 @@ means a smaller doc_id (null last), or the same doc_id and a smaller position. R
 count as one document and get the same result. Other columns of the input are ignored.
 
 At scale: about 1/7 of all words are shuffled as sampled grams, then only phrases of blocks that occur twice
-or more. Counts are combined before the shuffle; joins with them read two written tables, so adaptive execution
+or more. Whole copies of a text are one factor that refers to the first of them, so only the first is parsed; the
+copies are combined before the shuffle. Counts are combined before the shuffle; joins with them read two written tables, so adaptive execution
 splits a phrase that a third of all rows share.
 """
 
@@ -26,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.natives import word_count, word_line
-from tidemark.llm.suffix_dedup import with_key
+from tidemark.llm.natives import screened, word_count, word_line
 from tidemark.llm.vectortext import U, grams, mix, pieces, sampled, signed, sliding, word_hashes, words
 from tidemark.llm.worktables import save
 
@@ -127,13 +127,16 @@ def _parse_batches(window: int):
 
 
 def factor_table(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """For each text with a factor: key (xxhash64 of doc_id and text), n_removed, kept_sha256 and the factors as
-    arrays starts, ends (words, end exclusive), refs (doc_id of the reference), ref_starts (its first word)."""
-    rows = with_key(documents).select("text", "key", F.coalesce("doc_id", F.lit(LAST)).alias("doc"))
+    """For each text whose first copy has a factor: key (xxhash64 of the text), n_removed, kept_sha256 and that
+    copy's factors as arrays starts, ends (words, end exclusive), refs (doc_id of the reference), ref_starts."""
+    rows = documents.select("text", F.xxhash64("text").alias("key"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"))
     blocks = rows.select("text", "key").mapInArrow(_block_batches(window, gram), "block long, key long, pos int")
-    known = save(blocks.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block"), "blocks")
-    marks = save(blocks.join(known, "block").groupBy("key").agg(F.collect_list("pos").alias("marks")), "references")
-    texts = save(rows.join(marks, "key").select("doc", "key", "text", "marks"), "referring")
+    place = F.struct("key", "pos")
+    known = blocks.groupBy("block").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
+    known = save(known.select("block"), "blocks")
+    marks = save(blocks.join(known, "block").groupBy("key").agg(F.collect_set("pos").alias("marks")), "references")
+    firsts = screened(rows, marks, "key").groupBy("key").agg(F.min("doc").alias("doc"), F.first("text").alias("text"))
+    texts = save(firsts.join(marks, "key").select("doc", "key", "text", "marks"), "referring")
     phrases = texts.mapInArrow(_phrase_batches(window, gram), "one long, two long, doc long, key long, pos int")
     index = phrases.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("at"))
     index = save(index.where("n > 1").select("one", "two", F.col("at.doc").alias("ref"), F.col("at.pos").alias("ref_pos")), "phrases")
@@ -142,20 +145,24 @@ def factor_table(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     out = texts.select("key", "text").join(found, "key").mapInArrow(
         _parse_batches(window), "key long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>, refs array<long>, ref_starts array<long>"
     )
-    return save(out.dropDuplicates(["key"]), "factors")
+    return save(out, "factors")
 
 
 def reference_dedup(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """A row for each row of documents: doc_id, n_words, n_removed, kept_sha256, n_factors, starts, ends, refs."""
     parsed = factor_table(documents, window)
-    whole = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), word_line("text").alias("plain"))
-    whole = whole.select("doc_id", "key", word_count("plain").alias("n_words"), F.sha2(F.col("plain").cast("binary"), 256).alias("sha"))
+    doc = F.coalesce("doc_id", F.lit(LAST))
+    whole = documents.select("doc_id", doc.alias("doc"), F.xxhash64("text").alias("key"), word_line("text").alias("plain"))
+    whole = save(whole.select("doc_id", "doc", "key", word_count("plain").alias("n_words"), F.sha2(F.col("plain").cast("binary"), 256).alias("sha")), "whole")
+    first = save(whole.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("key", "first"), "firsts")
     none = F.array().cast("array<long>")
-    return whole.join(parsed, "key", "left").select(
+    copy = F.coalesce(F.col("doc") > F.col("first"), F.lit(False)) & (F.col("n_words") >= window)
+    lists = {"starts": F.array(F.lit(0).cast("long")), "ends": F.array("n_words"), "refs": F.array("first")}
+    return whole.join(first, "key", "left").join(parsed, "key", "left").select(
         "doc_id",
         "n_words",
-        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
-        F.coalesce(F.size("starts"), F.lit(0)).alias("n_factors"),
-        *(F.coalesce(c, none).alias(c) for c in ("starts", "ends", "refs")),
+        F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(copy, 1).otherwise(F.coalesce(F.size("starts"), F.lit(0))).alias("n_factors"),
+        *(F.when(copy, of).otherwise(F.coalesce(c, none)).alias(c) for c, of in lists.items()),
     )
