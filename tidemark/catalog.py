@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import evidence, forecasting  # noqa: F401  (importing them registers their queries)
+from tidemark.plans import evidence, forecasting, records  # noqa: F401  (importing them registers their queries)
 from tidemark.plans.registry import QUERIES, SQL
 
 

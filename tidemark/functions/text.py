@@ -77,3 +77,50 @@ def clock_seconds(c: str | Column) -> Column:
 def record_id(*columns: str) -> Column:
     """The first 20 digits of the SHA-256 of the fields joined by |."""
     return F.substring(F.sha2(F.concat_ws("|", *columns), 256), 1, 20)
+
+
+#: stages of a transaction by the words that tell them, the first that fits; fixed values
+STAGES = (
+    ("PENDING_APPROVAL", r"\b(pending|not yet|subject to|awaiting)\b.{0,70}\b(approval|approved|league|physical)|\bnot yet (been )?approved\b"),
+    ("REPORTED_OR_AGREED", r"\b(reportedly|reports? say|according to|agreed to|agreement in principle|expected to)\b"),
+    ("ANNOUNCED_LANGUAGE_UNVERIFIED", r"\b(officially|announced|has acquired|have acquired|acquires|acquired|completed)\b"),
+)
+GAINS = "acquire[ds]?|obtains?|receive[ds]?"
+GIVES = "trade[ds]?|sends?|sent|dealt"
+
+
+def stage(c: str | Column) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    out = F.lit("STAGE_UNKNOWN")
+    for name, words in reversed(STAGES):
+        out = F.when(c.rlike(f"(?i){words}"), name).otherwise(out)
+    return out
+
+
+def quoted(c: str | Column) -> Column:
+    """A value as a pattern that matches just that value."""
+    return F.regexp_replace(c, r"([^\p{L}\p{N}\s])", r"\\$1")
+
+
+def direction(c: str | Column, who: str | Column, origin: str | Column, dest: str | Column) -> Column:
+    """Whether a sentence says, and not merely hints, that who moved from origin to dest."""
+    w, o, d = (F.concat(F.lit(r"(?<!\w)"), quoted(x), F.lit(r"(?!\w)")) for x in (who, origin, dest))
+    near = F.lit(".{0,100}")
+    verb = lambda words: F.lit(rf"\b({words})\b")
+    out_of, into = F.concat(F.lit(r"\bfrom\s+(the\s+)?"), o), F.concat(F.lit(r"\bto\s+(the\s+)?"), d)
+    moves = (
+        (d, verb(GAINS), w, out_of),
+        (o, verb(GIVES), w, into),
+        (w, verb(GIVES), out_of, into),
+        (w, verb(GIVES), into, out_of),
+    )
+    says = lambda *parts: F.regexp_like(c, F.concat(F.lit("(?isU)"), parts[0], *(x for p in parts[1:] for x in (near, p))))
+    told = says(*moves[0])
+    for parts in moves[1:]:
+        told = told | says(*parts)
+    return (
+        F.when(~F.coalesce(says(w), F.lit(False)), "NO_DIRECTION_PROPOSAL")
+        .when(told, "GRAMMATICAL_DIRECTION_CANDIDATE")
+        .when(says(o) & says(d), "COOCCURRENCE_ONLY")
+        .otherwise("NO_GRAMMATICAL_DIRECTION")
+    )

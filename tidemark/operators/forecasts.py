@@ -100,6 +100,34 @@ def shrunk(rows: DataFrame, strength: int = SHRINK) -> DataFrame:
     return own.join(pooled, "event_date").select("role_change", "event_date", "n", (weight * F.col("width") + (1 - weight) * F.col("pooled")).alias("width"))
 
 
+RECENT = 8
+LEAST_RECENT = 3
+VOLATILE = 5.0
+LEAST_CELL = 100
+CELLS = (("role_change",), ("role_change", "history"), ("role_change", "history", "volatility"))
+
+
+def with_cells(rows: DataFrame) -> DataFrame:
+    """One candidate's rows with history group and volatility: high if the mean of the entity's RECENT errors of
+    earlier days, LEAST_RECENT at least, is above VOLATILE."""
+    recent = W.partitionBy("entity_id").orderBy("event_date").rowsBetween(-RECENT, -1)
+    high = (F.count("error").over(recent) >= LEAST_RECENT) & (F.avg("error").over(recent) > VOLATILE)
+    return rows.withColumn("history", history_group()).withColumn("volatility", F.when(high, "high").otherwise("low"))
+
+
+def cascade(rows: DataFrame, least: int = LEAST_CELL) -> DataFrame:
+    """rows of with_cells with width and level: that of the finest cell with `least` earlier errors, else pooled."""
+    levels = ["event_date", "role_change", "history", "volatility"]
+    width, level = F.col("_w0"), F.lit("pooled")
+    out = rows.join(conformal(rows).select("event_date", F.col("width").alias("_w0")), "event_date")
+    for i, keys in enumerate(CELLS, 1):
+        cell = conformal(rows, *keys).where(F.col("n") >= least).select(*keys, "event_date", F.col("width").alias(f"_w{i}"))
+        out = out.join(cell, [*keys, "event_date"], "left")
+        width = F.coalesce(f"_w{i}", width)
+        level = F.when(F.col(f"_w{i}").isNotNull(), "+".join(keys)).otherwise(level)
+    return out.select(*levels, *(c for c in rows.columns if c not in levels), width.alias("width"), level.alias("level"))
+
+
 SUMMARY = ("n", "coverage", "mean_width", "mae", "over_10")
 
 

@@ -184,3 +184,37 @@ def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = rows.withColumnsRenamed({"rank": "better", "error": "ea"}), rows.withColumnsRenamed({"rank": "worse", "error": "eb"})
     pairs = a.join(b, ["entity_id", "event_date"]).where("better < worse")
     return rounded(pairs.groupBy("better", "worse").agg(F.count("*").alias("n"), F.avg(F.col("eb") - F.col("ea")).alias("gain")), "gain")
+
+
+def _cell_widths(*keys: str) -> str:
+    k = "".join(f"a.{c}, " for c in keys)
+    on = "".join(f"a.{c} = b.{c} and " for c in keys)
+    return f"""(select {k}a.event_date, count(*) as n, list_sort(list(b.error))[cast(least(count(*), ceil((count(*) + 1) * 0.9::double)) as int)] as width
+      from (select distinct {k}event_date from celled a) a join celled b on {on}b.event_date < a.event_date group by {k}a.event_date)"""
+
+
+_CASCADE = f"""{_BASE}, celled as (select *, case when prior_games <= 9 then '5-9' when prior_games <= 19 then '10-19' else '20+' end as history,
+   case when count(error) over w >= 3 and avg(error) over w > 5 then 'high' else 'low' end as volatility
+   from base window w as (partition by entity_id order by event_date rows between 8 preceding and 1 preceding)),
+ w0 as {_cell_widths()}, w1 as {_cell_widths('role_change')}, w2 as {_cell_widths('role_change', 'history')}, w3 as {_cell_widths('role_change', 'history', 'volatility')},
+ chosen as (select c.*, coalesce(w3.width, w2.width, w1.width, w0.width) as width,
+   case when w3.n is not null then 'role_change+history+volatility' when w2.n is not null then 'role_change+history' when w1.n is not null then 'role_change' else 'pooled' end as level
+   from celled c join w0 using (event_date) left join w1 on w1.event_date = c.event_date and w1.role_change = c.role_change and w1.n >= 100
+   left join w2 on w2.event_date = c.event_date and w2.role_change = c.role_change and w2.history = c.history and w2.n >= 100
+   left join w3 on w3.event_date = c.event_date and w3.role_change = c.role_change and w3.history = c.history and w3.volatility = c.volatility and w3.n >= 100)"""
+
+
+@query(f"with recursive {_CASCADE} select entity_id, event_date, history, volatility, level, round(width, 6) as width from chosen")
+def conformal_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fc.cascade(fc.with_cells(_base(spark, sf_dir)))
+    return rounded(out.select("entity_id", "event_date", "history", "volatility", "level", "width"), "width")
+
+
+@query(f"""with recursive {_CASCADE} select level, count(*) as n, round(avg(case when error <= width then 1.0 else 0.0 end), 6) as coverage, round(sum(error) / sum(sum(error)) over (), 6) as share_of_error,
+ count(*) filter (where error > 15) as over_15 from chosen group by 1""")
+def risk_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each level of the cascade covers, and its share of all error."""
+    out = fc.cascade(fc.with_cells(_base(spark, sf_dir)))
+    out = out.groupBy("level").agg(F.count("*").alias("n"), F.avg((F.col("error") <= F.col("width")).cast("double")).alias("coverage"), F.sum("error").alias("e"), F.count_if(F.col("error") > 15).alias("over_15"))
+    out = out.withColumn("share_of_error", F.col("e") / F.sum("e").over(W.partitionBy(F.lit(1)))).drop("e")  # a row a level
+    return rounded(out, "coverage", "share_of_error")
