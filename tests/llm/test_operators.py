@@ -128,6 +128,17 @@ def test_outliers(spark):
     assert quality_outliers(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_small_cells_use_whole_estimates(spark):
+    r = random.Random(5)
+    words = [f"{r.choice(['house', 'tree', 'long', 'word'])}{i}" for i in range(400)]
+    clean = lambda: " ".join(r.sample(words, r.randint(30, 80)))
+    junk = "#*$%" * 200 + " a b c d e f g h i j k"
+    rows = [(i, clean(), "en", "large") for i in range(240)]
+    rows += [(300, junk, "en", "one"), (301, junk, "en", "three"), (302, clean(), "en", "three"), (303, clean(), "en", "three"), (304, junk, "la", "one"), (305, clean(), None, None)]
+    kept = {x.doc_id: x.kept for x in quality_outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [kept[i] for i in range(300, 306)] == [False, False, True, True, False, True]
+
+
 def test_mixing_meets_targets_and_repeats_itself(spark):
     docs = frame(spark, ["w " * (k % 37) for k in range(400)] + [None, ""])
     first, again = (sorted(mix_sources(d).select("doc_id", "source", "size", "target", "taken").collect(), key=str) for d in (docs, docs.repartition(7)))

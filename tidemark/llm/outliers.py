@@ -6,11 +6,12 @@ with the least Mahalanobis distance gives the next mean and covariance. Rows far
 scaled so that the median distance is that of a chi-square, are rejected.
 
 Result rules: words are [^\\x20\\x09-\\x0D]+, null texts have none. A cell of fewer than LEAST rows uses its
-language's estimate, a language of fewer that of all rows. Null languages and sources are cells of their own.
+language's estimate, a language of fewer that of all rows; either is made of all rows of the language or table. Null languages and sources are cells of their own.
 Repeated rows are judged alike. Columns other than doc_id, text, lang and source are ignored.
 
 At scale: texts are read once and only the counts are kept; each step is one grouped aggregation of partial
-sums, quantiles are mergeable sketches, so a source with a third of all rows is spread like any other. Estimates
+sums, quantiles are mergeable sketches, so a source with a third of all rows is spread like any other. A row
+counts in up to three cells, those that no row uses are left out. Estimates
 are tables joined back; Spark broadcasts them only below its own size limit.
 """
 
@@ -153,13 +154,17 @@ def concentrated(rows: DataFrame) -> DataFrame:
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """rows with cell: language and source, or language alone, or all, whichever has LEAST rows."""
+    """rows with cell, the finest of language and source, language, and all that has LEAST rows itself, and cells,
+    all cells of the row that any row uses: each of them is estimated from all of its rows."""
     part = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("+"), c))
     rows = rows.withColumns({"l": part("lang"), "s": part("source")})
     fine = save(rows.groupBy("l", "s").agg(F.count("*").alias("fine")), "cells")
-    coarse = fine.groupBy("l").agg(F.sum("fine").alias("coarse"))
-    cell = F.when(F.col("fine") >= LEAST, F.concat_ws("\n", "l", "s")).when(F.col("coarse") >= LEAST, F.col("l")).otherwise("")
-    names = save(fine.join(coarse, "l").select("l", "s", cell.alias("cell")), "cell_names")
+    coarse = fine.groupBy("l").agg(F.sum("fine").alias("coarse"), (F.min("fine") < LEAST).alias("some_small"))
+    small = coarse.agg(F.coalesce(F.min("coarse") < LEAST, F.lit(False))).first()[0]
+    own = F.when(F.col("fine") >= LEAST, F.concat_ws("\n", "l", "s"))
+    language = F.when(F.col("coarse") >= LEAST, F.col("l"))
+    used = F.array_compact(F.array(own, F.when(F.col("some_small"), language), F.lit("" if small else None).cast("string")))
+    names = save(fine.join(coarse, "l").select("l", "s", F.coalesce(own, language, F.lit("")).alias("cell"), used.alias("cells")), "cell_names")
     return rows.join(names, ["l", "s"]).drop("l", "s")
 
 
@@ -169,7 +174,7 @@ def quality_outliers(documents: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     rows = documents.select("doc_id", "text", "lang", "source").mapInArrow(_count_batches, f"doc_id long, lang string, source string, {kinds}")
     rows = save(rows.withColumn("x", F.array(*statistics())), "counts")
     rows = save(_cells(rows), "placed")
-    estimates = concentrated(rows.select("cell", "x"))
+    estimates = concentrated(rows.select(F.explode("cells").alias("cell"), "x"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = rows.join(estimates, "cell").withColumn("distance", distance() / F.col("scale"))
     return out.select("doc_id", *COUNTS, failed.alias("base_failed"), "distance", (~failed & (F.col("distance") <= cutoff)).alias("kept"))
