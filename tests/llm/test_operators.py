@@ -105,6 +105,15 @@ def test_base_spans_match_plain_expressions(spark):
     assert last.all.count("iban") == 1 and last.all.count("ssn") == 1 and last.clean == "[IBAN] iban, ssn [SSN]"
 
 
+def test_ibans_end_where_their_country_says(spark):
+    texts = [
+        "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89370400440532013000 BIC COBADEFFXXX", "konto DE89 3704 0044 0532 0130 00 2024",
+        "NR12 DE89 3704 0044 0532 0130 00 NO93 8601 1117 947 OK", "DE89 3704 0044 0532 0130 01 BIC", "DE89370400440532013000BIC", "AL35 DE89 3704 0044 0532 0130 00",
+    ]
+    rows = find_pii(frame(spark, texts)).select("doc_id", masked(F.col("text"), F.filter("pii", lambda s: s["kind"] == "iban")).alias("clean")).collect()
+    assert [r.clean for r in sorted(rows)] == ["IBAN [IBAN] BIC COBADEFF", "[IBAN] BIC COBADEFFXXX", "konto [IBAN] 2024", "NR12 [IBAN] [IBAN] OK", *texts[4:6], "AL35 [IBAN]"]
+
+
 def counts(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]

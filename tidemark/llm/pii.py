@@ -2,7 +2,9 @@
 
 Base kinds are email, ip, card (Luhn) and phone; found leftmost and without overlap within a kind, a proposal
 that fails its test is dropped without another try, and what passes always stays. Added kinds are iban (mod 97)
-and ssn (no checksum; it needs a context word); they stay from a score of KEEP_SCORE.
+and ssn (no checksum; it needs a context word); they stay from a score of KEEP_SCORE. An iban is as long as its
+country's; it is proposed at every place it may start, so no proposal hides another one. Under a country code
+that isn't in IBAN_LENGTHS the longest run is tried.
 
 Result rules: offsets count code points, ends are exclusive; null texts count as empty. Spans of different kinds
 may overlap. Every row is judged on its own, so repeated rows repeat their result. Other columns are ignored.
@@ -22,6 +24,17 @@ MARK = "\uffff"
 CONTEXT = 40
 KEEP_SCORE = 0.7
 
+#: country codes by the length of their IBANs, registered or in use
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
+_OTHER_IBAN = rf"(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}"
+
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 #: the pattern of each kind, and a cheaper one without which a text cannot hold it
 PATTERNS = {
@@ -29,7 +42,7 @@ PATTERNS = {
     "ip": (r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"\.[0-9]+\.[0-9]+\.[0-9]"),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){11}"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}"),
+    "iban": (rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{_IBAN}|{_OTHER_IBAN})(?![A-Za-z0-9])))", r"[A-Z]{2}[0-9]{2}"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]"),
 }
 #: score of a confirmed span by itself; a context word adds CONTEXT_BONUS
@@ -46,15 +59,17 @@ WORDS = {
 
 
 def proposals(text: Column, kind: str) -> Column:
-    """Matches of a kind's pattern as array<struct<start, end, found>>."""
+    """Matches of a kind's pattern as array<struct<start, end, found>>; those of iban, found ahead, may overlap."""
     pattern, needed = PATTERNS[kind]
-    parts = F.split(F.regexp_replace(F.translate(text, MARK, "?"), pattern, f"{MARK}$0{MARK}"), MARK)
+    ahead = kind == "iban"
+    parts = F.split(F.regexp_replace(F.translate(text, MARK, "?"), pattern, f"{MARK}${1 if ahead else 0}{MARK}"), MARK)
     none = F.array().cast(SPAN)
 
     def step(acc: Column, part: Column) -> Column:
         end = acc["at"] + F.length(part)
         span = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("found"))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        at = F.when(acc["inside"], acc["at"]).otherwise(end) if ahead else end
+        return F.struct(at.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("out"))
     return F.when(text.rlike(needed), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(none)
