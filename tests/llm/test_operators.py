@@ -172,6 +172,16 @@ def test_url_rules_and_templates(spark):
     assert filter_urls(pages.limit(0), labels).count() == 0
 
 
+def test_small_and_deep_sections_are_judged(spark):
+    small = [(1000 * s + i, f"http://s.com/sec{s}/{i}", int(s == 7)) for s in range(50) for i in range(30)]
+    deep = [(100000 + 1000 * s + i, f"http://d.com/a/b/c/d/e/{'bad' if s else 'good'}/{i}", s) for s in range(2) for i in range(40)]
+    pages = spark.createDataFrame([(i, u) for i, u, _ in small + deep], "page_id long, url string")
+    labels = spark.createDataFrame([(i, bad) for i, _, bad in small + deep if i % 3], "page_id long, bad int")
+    got = {x.page_id: x for x in filter_urls(pages, labels).collect()}
+    assert all((got[i].verdict == "block") == bool(bad) for i, _, bad in small + deep)
+    assert got[7000].template == "/sec7/*" and got[101000].template == "/*/*/*/*/*/bad/*"
+
+
 def test_classifier_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").cast("int").alias("label"))

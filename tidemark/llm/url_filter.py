@@ -1,8 +1,9 @@
 """URL filter: host and path rules first, then a path-template tree per host.
 
-The tree is built level by level. A segment that holds less than MIN_SHARE of its parent's pages is variable
-and becomes the wildcard; a larger branch whose labelled purity doesn't differ from its siblings' (two-proportion
-z below MERGE_Z) is merged into the wildcard too. A template is rejected by its share of bad labelled pages,
+The tree is built level by level, down to the longest path. A segment with less than MIN_SHARE of its parent's
+pages and fewer than PRIOR labelled ones, which its host's prior outweighs, is variable and becomes the wildcard;
+any other branch whose labelled purity doesn't differ from its siblings' (two-proportion z below MERGE_Z) is merged
+into the wildcard too. A template is rejected by its share of bad labelled pages,
 smoothed towards its host's, which is smoothed towards the whole table's.
 
 Result rules: the host is what follows the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; the path
@@ -10,8 +11,11 @@ follows up to `?`, `#` or the end. Both are empty where url is null or has no `:
 the template of the empty host. Repeated rows are judged alike. Unlabelled pages shape the tree but not purity.
 Other columns of the input are ignored.
 
+The SQL of op4_url_filter stops at DEPTH levels, the last one the rest of the path, and judges no branch under
+MIN_SHARE; it gives the same rows only where paths have no more levels and no such branch has PRIOR labels.
+
 At scale: only page_id, host and path are shuffled, never html; counts are combined before each shuffle. A node
-keeps at most 1 / MIN_SHARE branches, so the tables joined back are small; Spark broadcasts them only below its
+keeps at most 1 / MIN_SHARE branches and one for each PRIOR labels; Spark broadcasts them only below its
 own size limit and otherwise joins two written tables, which adaptive execution can split.
 """
 
@@ -49,22 +53,20 @@ def rule_of(rules: tuple[tuple[str, str], ...]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _segment(level: int) -> Column:
-    parts = F.split("path", "/")
-    if level < DEPTH:
-        return F.get(parts, F.lit(level))
-    return F.when(F.size(parts) > DEPTH, F.array_join(F.slice(parts, DEPTH + 1, F.size(parts)), "/"))
-
-
 def templates(pages: DataFrame) -> DataFrame:
     """pages(host, path, bad) with template; bad: 1, 0, or null without a label."""
     pages = pages.withColumn("template", F.lit(""))
-    for level in range(1, DEPTH + 1):
-        pages = pages.withColumn("segment", _segment(level))
+    parts, level = F.split("path", "/"), 0
+    while True:
+        level += 1
+        pages = pages.withColumn("segment", F.get(parts, F.lit(level)))
         sums = (F.count("*").alias("n"), F.count("bad").alias("seen"), F.coalesce(F.sum("bad"), F.lit(0)).alias("worse"))
         children = save(pages.where("segment is not null").groupBy("host", "template", "segment").agg(*sums), "branches")
         parents = save(children.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("seen").alias("all_seen"), F.sum("worse").alias("all_worse")), "nodes")
-        both = children.join(parents, ["host", "template"]).where(F.col("n") >= MIN_SHARE * F.col("all_n"))
+        if parents.where("all_worse > 0 and all_worse < all_seen").isEmpty():  # no branch can differ here or below
+            rest = F.expr(f"repeat('/*', greatest(size(split(path, '/')) - {level}, 0))")
+            return pages.withColumn("template", F.concat("template", rest)).drop("segment")
+        both = children.join(parents, ["host", "template"]).where((F.col("n") >= MIN_SHARE * F.col("all_n")) | (F.col("seen") >= PRIOR))
         others = F.col("all_seen") - F.col("seen")
         pooled = F.try_divide("all_worse", "all_seen")
         gap = F.try_divide("worse", "seen") - F.try_divide(F.col("all_worse") - F.col("worse"), others)
@@ -74,7 +76,8 @@ def templates(pages: DataFrame) -> DataFrame:
         pages = pages.join(own, ["host", "template", "segment"], "left")
         step = F.when(F.col("segment").isNull(), "").when(F.col("own"), F.concat(F.lit("/"), "segment")).otherwise("/*")
         pages = pages.withColumn("template", F.concat("template", step)).drop("segment", "own")
-    return pages
+        if level % DEPTH == 0:
+            pages = save(pages, "levels")
 
 
 def filter_urls(pages: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
