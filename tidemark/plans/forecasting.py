@@ -13,6 +13,8 @@ from tidemark.sources.bindings import ENTITY_GAMES, entity_games
 
 WARM_UP = 7
 LEAST_PRIOR = 5
+LCG_DRAW = "(rep * 7919 + pos * 104729) % d"
+MD5_DRAW = "cast(conv(substr(md5(concat(rep, ':', pos)), 1, 13), 16, 10) as bigint) % d"
 
 _DAYS = f"""games as ({ENTITY_GAMES}),
  days as (select entity_id, event_date, count(*) as games, avg(minutes) as minutes, avg(cast(points as double)) as points, avg(cast(extras as double)) as extras
@@ -167,14 +169,34 @@ def guardrails(spark: SparkSession, sf_dir: str) -> DataFrame:
  select count(*) as reps, round(avg(ratio), 6) as mean, round(quantile_cont(ratio, 0.025), 6) as low, round(quantile_cont(ratio, 0.975), 6) as high from reps"""
 )
 def bootstrap_lcg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draws of date blocks from a linear rule, the same in any engine; replicates are made on the executors."""
-    rows = _long(spark, sf_dir).where("candidate in ('mean_5', 'ewm_5')")
+    """Draws of date blocks from a linear rule, the same in any engine; replicates are made on the executors.
+
+    The rule takes each date once unless 104729 divides their number, so its interval has no width: see bootstrap_md5.
+    """
+    return _bootstrap(_long(spark, sf_dir), LCG_DRAW)
+
+
+@query(
+    f"""with recursive {_LONG}, gains as (select a.event_date, sum(a.error - b.error) as gain, count(*) as n from long a join long b using (entity_id, event_date)
+   where a.candidate = 'mean_5' and b.candidate = 'ewm_5' group by 1),
+ daily as (select row_number() over (order by event_date) - 1 as nth, gain, n from gains), size as (select count(*) as d from daily),
+ draws as (select rep, ('0x' || substring(md5(rep::varchar || ':' || pos::varchar), 1, 13))::bigint % d as nth from size, range(500) r(rep), range(d) p(pos)),
+ reps as (select rep, sum(gain) / sum(n) as ratio from draws join daily using (nth) group by 1)
+ select count(*) as reps, round(avg(ratio), 6) as mean, round(quantile_cont(ratio, 0.025), 6) as low, round(quantile_cont(ratio, 0.975), 6) as high from reps"""
+)
+def bootstrap_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Date blocks drawn with replacement by a hash of replicate and position, the same in any engine."""
+    return _bootstrap(_long(spark, sf_dir), MD5_DRAW)
+
+
+def _bootstrap(rows: DataFrame, draw: str) -> DataFrame:
+    rows = rows.where("candidate in ('mean_5', 'ewm_5')")
     paired = rows.groupBy("entity_id", "event_date").agg(F.sum(F.when(F.col("candidate") == "mean_5", F.col("error")).otherwise(-F.col("error"))).alias("gain"), F.count("*").alias("c")).where("c = 2")
     daily = paired.groupBy("event_date").agg(F.sum("gain").alias("gain"), F.count("*").alias("n"))
     daily = daily.withColumn("nth", F.row_number().over(W.orderBy("event_date")) - 1)
     size = daily.agg(F.count("*").alias("d"))
-    draws = spark.range(500).withColumnRenamed("id", "rep").join(F.broadcast(size)).select("rep", "d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("d") - 1)).alias("pos"))
-    draws = draws.select("rep", F.expr("(rep * 7919 + pos * 104729) % d").alias("nth"))
+    draws = rows.sparkSession.range(500).withColumnRenamed("id", "rep").join(F.broadcast(size)).select("rep", "d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("d") - 1)).alias("pos"))
+    draws = draws.select("rep", F.expr(draw).alias("nth"))
     return rounded(fc.block_bootstrap(daily, draws), "mean", "low", "high")
 
 
