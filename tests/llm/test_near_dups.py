@@ -64,6 +64,31 @@ def test_matches_brute_force(spark):
         assert got == brute(rows)
 
 
+def check(spark, texts):
+    rows = list(enumerate(texts))
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute(rows)
+    return {d: c for d, _, c, _ in got}
+
+
+def test_links_by_frequent_passages_alone(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    docs = [f"{passage} " + " ".join(f"d{k}w{i}" for i in range(10)) for k in range(40)]
+    got = check(spark, [*docs, passage + " x0 x1 x2 x3 x4 x5", passage + " x0"])
+    assert got[41] == 40
+
+
+def test_passages_in_many_classes(spark):
+    for seed in (1, 2):
+        r = random.Random(seed)
+        passage = [f"p{i}" for i in range(60)]
+        own = lambda n: [f"o{r.randrange(10**9)}" for _ in range(n)]
+        docs = [own(r.randint(0, 3)) + passage[r.randint(0, 8) : 60 - r.randint(0, 8)] + own(r.randint(0, 22)) for _ in range(110)]
+        docs += [passage[:50] + own(4) + passage[54 - r.randint(0, 3) :] + [f"e{r.randrange(3)}" for _ in range(r.randint(0, 9))] for _ in range(60)]
+        docs += [own(30) + passage[:12] for _ in range(40)] + [passage * 3 + own(60) for _ in range(3)]
+        check(spark, [" ".join(d) for d in docs])
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (3, "A b c d e f"), (2, None)], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.component_id, r.kept) for r in near_duplicates(df).collect())

@@ -9,23 +9,27 @@ than a shingle has, the whole sequence is the one element; without words (or wit
 and linked with nothing. Rows that share a doc_id are one node; rows without doc_id are linked with nothing
 and kept. Columns of the input other than doc_id and text are ignored.
 
-At scale: lists of up to SHORT classes give all their pairs (so a class has at most INDEXED * SHORT partners
-there). A class with fewer than NEED values in such lists consists of frequent passages or has very many near
-copies; those classes go through their long lists round by round: each list pairs its members with one of them,
-confirmed links merge, and lists inside one component end. What then still spans components is compared in
-full, so no link is lost to the limits. Counts are combined before the shuffle, joins with them read written
-tables that adaptive execution can split. Texts and sketches that no pair names are screened out by a bitmap of
-fixed size before they would be shuffled.
+No list is cut. Each class sorts the values of its sketch from rare to frequent and enters the lists of only so
+many of them that two linked classes must meet in one (prefix rule, with the rank of the value bounding what a pair
+can still share). Lists of up to SHORT classes give their pairs. The classes of longer lists are taken up with their
+full sets, in the same way: rank by rarity among themselves, prefix, lists. There, each list first links its members
+to one of them for ROUNDS rounds; lists inside one component end; the rest give all pairs across components that
+rank and size allow. The one inexact step is the sketch of a union: a pair at the threshold falls below the least
+overlap it asks for with a chance of under CHANCE; sets of up to K shingles are compared exactly.
+
+At scale: counts are combined before the shuffle, joins with them read written tables that adaptive execution can
+split. A list is dealt out in blocks, so no task holds one whole. Texts and sketches that no pair names are screened
+out by a bitmap of fixed size before they would be shuffled. A text is known by its doc_id and a hash together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components, extended
@@ -36,14 +40,23 @@ from tidemark.llm.worktables import save
 WORDS = 5
 PERCENT = 75
 K = 64
-INDEXED = 32
 SHORT = 32
-NEED = 16
 ROUNDS = 2
-#: members of a block when a group is compared in full
-BLOCK = 256
-#: below this estimate from K values a pair at the threshold is over six standard deviations away
-SURE = 0.42
+#: lists of full sets that a class links through in one round
+TRIED = 8
+#: members of a list's block
+BLOCK = 1024
+CHANCE = 1e-11
+
+
+def least_overlap(percent: int, k: int = K) -> int:
+    """Values of k that a union's sketch shares at least, but for CHANCE, if the sets reach percent."""
+    t, total = percent / 100, 0.0
+    for m in range(k + 1):
+        total += comb(k, m) * t**m * (1 - t) ** (k - m)
+        if total > CHANCE:
+            return m
+    return k
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,13 +126,13 @@ def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return one.join(table.select(F.col("node").alias("b"), F.col(column).alias("y")), "b")
 
 
-def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose union sketch doesn't rule out the threshold."""
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose union sketch doesn't rule out the threshold; a union of fewer than K values is known whole."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     both = _with_both(pairs, screened(classes, named, "node"), "sketch")
     union = F.slice(F.array_sort(F.array_union("x", "y")), 1, K)
     shared = F.size(F.array_intersect(union, F.array_intersect("x", "y")))
-    return both.where(shared >= SURE * F.size(union)).select("a", "b")
+    return both.where(F.when(F.size(union) < K, 100 * shared >= percent * F.size(union)).otherwise(shared >= least_overlap(percent))).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -134,6 +147,16 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(ra, "a", "left").join(rb, "b", "left").where("coalesce(p, a) <> coalesce(q, b)").select("a", "b")
 
 
+def ranked(each: DataFrame, keep: Column) -> DataFrame:
+    """each(value, node, n, s): the rows to enter, with the list's size and the value's rank in its node from rare to
+    frequent, from 0. s values a node, and keep, over n, s and rank, says which ranks enter. Values of one node never do."""
+    lists = save(each.groupBy("value").agg(F.count("*").alias("size")).where("size > 1"), "lists")
+    held = each.join(lists, "value").groupBy("node", "n", "s").agg(F.array_sort(F.collect_list(F.struct("size", "value"))).alias("held"))
+    out = held.select("node", "n", "s", (F.col("s") - F.size("held")).alias("single"), F.posexplode("held").alias("k", "h"))
+    out = out.select("h.value", "node", "n", "s", "h.size", (F.col("single") + F.col("k")).alias("rank"))
+    return out.where(keep)
+
+
 class _Linker:
     """Confirms pairs against the full sets of the classes they name."""
 
@@ -143,46 +166,45 @@ class _Linker:
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         keys = save(self.classes.select("node", "key").join(nodes, "node"), "named")
-        texts = screened(self.rows.select("key", "text"), keys, "key").join(keys, "key").dropDuplicates(["key"])
-        return save(texts.select("node", "text").mapInArrow(_set_batches(self.size), "node long, members array<long>"), "sets")
-
-    def possible(self, nodes: DataFrame) -> DataFrame:
-        """The nodes that can reach the threshold with another one of nodes: enough of their shingles occur in others."""
-        each = self.sets(nodes).select("node", F.size("members").alias("n"), F.explode("members").alias("value"))
-        common = save(each.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value"), "common")
-        shared = each.join(common, "value").groupBy("node", "n").agg(F.count("*").alias("c"))
-        return save(shared.where(100 * F.col("c") >= self.percent * F.col("n")).select("node"), "possible")
+        texts = screened(self.rows, keys, "key").join(keys.withColumnRenamed("node", "doc_id"), ["doc_id", "key"]).dropDuplicates(["doc_id"])
+        return save(texts.select(F.col("doc_id").alias("node"), "text").mapInArrow(_set_batches(self.size), "node long, members array<long>"), "sets")
 
-    def add(self, pairs: DataFrame) -> None:
+    def add(self, pairs: DataFrame, sets: DataFrame | None = None) -> None:
         """First one pair for each class, then what these leave between components."""
-        pairs = save(pairs, "pairs")
+        pairs = save(likely(pairs, self.classes, self.percent), "pairs")
         if pairs.isEmpty():
             return
-        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        if sets is None:
+            sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         self._merge(confirmed(first, sets, self.percent))
         self._merge(confirmed(_across(pairs, self.roots), sets, self.percent))
 
-    def compare(self, lists: DataFrame) -> None:
-        """Links across components among classes that long lists connect, from their full sets, block by block.
-
-        Each class outside the largest component of its group is compared with the whole group; what is
-        shuffled is a copy of each set for each block, and what comes out at most one link for each class,
-        block and component.
-        """
-        if lists.isEmpty():
-            return
-        groups = components(lists.select(F.col("node").alias("a"), (-1 - F.col("value")).alias("b"))).select(F.col("u").alias("node"), F.col("root").alias("g"))
-        of = save(lists.select("node", "root").distinct().join(groups, "node"), "groups")
-        sizes = save(of.groupBy("g", "root").agg(F.count("*").alias("c")), "sizes")
-        sizes = sizes.groupBy("g").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"))
-        of = of.join(save(sizes, "blocks"), "g").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        of = save(of.join(self.sets(of.select("node")), "node"), "members")
-        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        left = of.where("root <> main").select("g", F.col("block").alias("i"), every.alias("j"), "node", "root", "members")
-        right = of.select("g", every.alias("i"), F.col("block").alias("j"), "node", "root", "members")
-        keys = ["g", "i", "j"]
-        self._merge(left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(_linked_blocks(self.percent), "a long, b long"))
+    def open_lists(self, entries: DataFrame) -> DataFrame:
+        """entries(value, node, ...) of the lists that still span components, with the members' root."""
+        of = save(entries.join(self.roots.select(F.col("u").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+        spans = of.groupBy("value").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("members")).where("p <> q")
+        return save(of.join(save(spans.select("value", "members"), "spans"), "value"), "open")
+
+    def link_frequent(self, nodes: DataFrame) -> None:
+        """All links among nodes, from their full sets."""
+        p = self.percent
+        sets = self.sets(nodes)
+        each = sets.select(F.explode("members").alias("value"), "node", F.size("members").alias("n"), F.size("members").alias("s"))
+        entries = save(ranked(each, 100 * (F.col("n") - F.col("rank")) >= p * F.col("n")), "entries")
+        met = save(entries.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value"), "met")
+        entries = save(entries.join(met, "value").select("value", "node", "n", "rank", "size"), "entries")
+        tried = entries.where(F.col("rank") > F.floor(F.col("n") * (100 - p) / 100) - TRIED)
+        for turn in range(ROUNDS):
+            open_ = self.open_lists(tried)
+            if open_.isEmpty():
+                break
+            hub = open_.groupBy("value").agg(F.min_by(F.struct(F.col("node").alias("hub"), F.col("n").alias("m"), F.col("rank").alias("at"), F.col("root").alias("other")), F.xxhash64("node", F.lit(turn))).alias("h"))
+            star = open_.join(save(hub.select("value", "h.*"), "hubs"), "value").where("root <> other").where(_can_reach("n", "rank", "m", "at", p))
+            self.add(save(star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "star"), sets)
+        open_ = self.open_lists(entries)
+        if not open_.isEmpty():
+            self.add(save(_block_pairs(open_, p), "across"), sets)
 
     def _merge(self, links: DataFrame) -> None:
         links = save(links, "links")
@@ -190,6 +212,25 @@ class _Linker:
             self.roots = extended(self.roots, links)
 
 
+def _can_reach(n: str, rank: str, m: str, at: str, percent: int) -> Column:
+    """Whether sets of n and m values whose first common one has these ranks can reach the threshold."""
+    n, rank, m, at = map(F.col, (n, rank, m, at))
+    return (100 + percent) * F.least(n - rank, m - at) >= percent * (n + m)
+
+
+def _block_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """open_(value, node, n, rank, root, members): the pairs of a list across roots that can reach the threshold.
+
+    Each member goes to the blocks of its list once for each other block: a row of a few numbers, not a set.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    of = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    left = of.select("value", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), "node", "n", "rank", "root")
+    right = of.select("value", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("rank").alias("at"), F.col("root").alias("q"))
+    met = left.join(right, ["value", "i", "j"]).where((F.col("root") != F.col("q")) & ((F.col("i") < F.col("j")) | (F.col("node") < F.col("other"))) & _can_reach("n", "rank", "m", "at", percent))
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """A row for each row of documents: doc_id, n_shingles, component_id, kept, class_id (least doc_id with an
     equal set), n_class (rows in it)."""
@@ -199,35 +240,26 @@ def near_duplicates(documents: DataFrame, size: int = WORDS, percent: int = PERC
     classes = known.groupBy("one", "two").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     classes = save(classes.select(F.col("least.doc_id").alias("node"), "least.key", "one", "two", "n", "sketch", "copies"), "classes")
 
-    retained = classes.select("node", "n", F.posexplode(F.slice("sketch", 1, INDEXED)).alias("rank", "value"))
-    lists = save(retained.groupBy("value").agg(F.count("*").alias("size")).where("size > 1"), "lists")
-    retained = save(retained.join(lists, "value").select("node", "n", "rank", "value", "size"), "retained")
-    short = retained.where(F.col("size") <= SHORT)
-    pairs = short.groupBy("value").agg(F.array_sort(F.collect_set(F.struct("node", "n"))).alias("of"))
+    least = least_overlap(percent)
+    each = classes.select(F.explode("sketch").alias("value"), "node", "n", F.size("sketch").alias("s"))
+    left = F.col("s") - F.col("rank")
+    entries = save(ranked(each, F.when(100 * F.col("n") <= percent * K, 100 * left >= percent * F.col("n")).otherwise(left >= least)), "entries")
+    # a list has at most as many entries as classes have the value in their sketch
+    frequent = entries.where(F.col("size") > SHORT)
+    filled = save(frequent.groupBy("value").agg(F.count("*").alias("c")).where("c > 1"), "filled")
+    frequent = save(frequent.join(filled, "value"), "frequent")
+    columns = ["value", "node", "n", "s", "rank"]
+    short = entries.where(F.col("size") <= SHORT).select(columns).unionByName(frequent.where(F.col("c") <= SHORT).select(columns))
+    pairs = short.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("node", "n", "s", "rank"))).alias("of"))
     pairs = pairs.select(F.posexplode("of").alias("i", "a"), "of").select("a", F.explode(F.slice("of", F.col("i") + 2, SHORT)).alias("b"))
-    pairs = pairs.where("100 * least(a.n, b.n) >= %d * greatest(a.n, b.n)" % percent)
-    pairs = pairs.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count("*").alias("overlap"), F.min(F.least("a.n", "b.n")).alias("n"))
-    pairs = pairs.where("overlap > 1 or n < %d" % NEED).select("a", "b")
+    small, big, rest = F.least("a.n", "b.n"), F.greatest("a.n", "b.n"), F.least(F.col("a.s") - F.col("a.rank"), F.col("b.s") - F.col("b.rank"))
+    meets = (100 * small >= percent * big) & F.when(big <= K, (100 + percent) * rest >= percent * (small + big)).otherwise(rest >= least)
+    pairs = pairs.where(meets).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     linker = _Linker(rows, classes, size, percent)
-    linker.add(likely(save(pairs, "overlaps"), classes))
-
-    # classes with too few values in short lists to be found there
-    long = retained.where(F.col("size") > SHORT)
-    need = F.least(F.lit(NEED), F.floor(F.col("n") * (100 - percent) / 100) + 1)
-    held = long.groupBy("node").agg(F.count("*").alias("frequent"), F.first("n").alias("n"))
-    heavy = save(held.where(F.least("n", F.lit(INDEXED)) - F.col("frequent") < need).select("node"), "heavy")
-    heavy = linker.possible(heavy)
-    hard = save(long.join(heavy, "node").where(F.col("rank") < 2 * NEED).select("value", "node", "n"), "hard")
-    for turn in range(ROUNDS if not hard.isEmpty() else 0):
-        open_ = save(_open_lists(hard, linker.roots), "open")
-        if open_.isEmpty():
-            break
-        hub = save(open_.groupBy("value").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("hub")), "hubs")
-        star = open_.join(hub, "value").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        linker.add(likely(save(_across(star, linker.roots), "star"), classes))
-    else:
-        if not hard.isEmpty():
-            linker.compare(save(_open_lists(hard, linker.roots), "open"))
+    linker.add(save(pairs, "overlaps"))
+    heavy = save(frequent.where(F.col("c") > SHORT).select("node").distinct(), "heavy")
+    if not heavy.isEmpty():
+        linker.link_frequent(heavy)
 
     found = classes.select("one", "two", F.col("node").alias("class_id"), F.col("copies").alias("n_class"), F.col("node").alias("u")).join(linker.roots, "u", "left")
     found = save(found.select("one", "two", "class_id", "n_class", F.coalesce("root", "class_id").alias("root")), "found")
@@ -240,34 +272,3 @@ def near_duplicates(documents: DataFrame, size: int = WORDS, percent: int = PERC
         F.when(alone, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"),
         F.when(F.col("n") > 0, F.col("n_class")).alias("n_class"),
     )
-
-
-def _linked_blocks(percent: int):
-    """Links between two blocks of one group, enough to connect all that is linked."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            sizes = right["members"].map(len).to_numpy()
-            values = np.concatenate(right["members"].to_list())
-            order = np.argsort(values, kind="stable")
-            values, owner = values[order], np.repeat(np.arange(len(right)), sizes)[order]
-            nodes, roots = right["node"].to_numpy(), right["root"].to_numpy()
-            for node, root, members in zip(left["node"], left["root"], left["members"], strict=True):
-                lo, hi = np.searchsorted(values, members, "left"), np.searchsorted(values, members, "right")
-                hits = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
-                shared = np.bincount(owner[hits], minlength=len(right))
-                k = np.flatnonzero((100 * shared >= percent * (sizes + len(members) - shared)) & (roots != root))
-                _, once = np.unique(roots[k], return_index=True)
-                out += [(node, b) for b in nodes[k[once]].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return run
-
-
-def _open_lists(hard: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the long lists that still span components."""
-    of = hard.join(roots.select(F.col("u").alias("node"), "root"), "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("root"))
-    of = save(of, "labelled")
-    spans = save(of.groupBy("value").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("value"), "spans")
-    return of.join(spans, "value")
