@@ -13,12 +13,12 @@ No list is cut. Each class sorts the values of its sketch from rare to frequent
 many of them that two linked classes must meet in one (prefix rule, with the rank of the value bounding what a pair
 can still share). Lists of up to SHORT classes give their pairs. The classes of longer lists are taken up with their
 full sets, in the same way: rank by rarity among themselves, prefix, lists. There, each list first links its members
-to one of them for ROUNDS rounds; lists inside one component end; the rest give all pairs across components that
-rank and size allow. The one inexact step is the sketch of a union: a pair at the threshold falls below the least
+to one of them for ROUNDS rounds; lists inside one component end. The classes that the rest connect are compared in
+full, those outside the largest component of their group with all of it. The one inexact step is the sketch of a union: a pair at the threshold falls below the least
 overlap it asks for with a chance of under CHANCE; sets of up to K shingles are compared exactly.
 
 At scale: counts are combined before the shuffle, joins with them read written tables that adaptive execution can
-split. A list is dealt out in blocks, so no task holds one whole. Texts and sketches that no pair names are screened
+split. A group is dealt out in blocks, so no task holds one whole. Texts and sketches that no pair names are screened
 out by a bitmap of fixed size before they would be shuffled. A text is known by its doc_id and a hash together.
 """
 
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,11 +42,11 @@ WORDS = 5
 PERCENT = 75
 K = 64
 SHORT = 32
-ROUNDS = 2
+ROUNDS = 4
 #: lists of full sets that a class links through in one round
 TRIED = 8
-#: members of a list's block
-BLOCK = 1024
+#: members of a block when what is left of a group is compared in full
+BLOCK = 512
 CHANCE = 1e-11
 
 
@@ -199,12 +200,32 @@ class _Linker:
             open_ = self.open_lists(tried)
             if open_.isEmpty():
                 break
-            hub = open_.groupBy("value").agg(F.min_by(F.struct(F.col("node").alias("hub"), F.col("n").alias("m"), F.col("rank").alias("at"), F.col("root").alias("other")), F.xxhash64("node", F.lit(turn))).alias("h"))
-            star = open_.join(save(hub.select("value", "h.*"), "hubs"), "value").where("root <> other").where(_can_reach("n", "rank", "m", "at", p))
+            hub = open_.groupBy("value").agg(F.min_by(F.struct(F.col("node").alias("hub"), F.col("root").alias("other")), F.xxhash64("node", F.lit(turn))).alias("h"))
+            star = open_.join(save(hub.select("value", "h.*"), "hubs"), "value").where("root <> other")
             self.add(save(star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "star"), sets)
-        open_ = self.open_lists(entries)
-        if not open_.isEmpty():
-            self.add(save(_block_pairs(open_, p), "across"), sets)
+        self.compare(self.open_lists(entries), sets)
+
+    def compare(self, lists: DataFrame, sets: DataFrame) -> None:
+        """Links across components among classes that open lists connect, from their full sets, block by block.
+
+        Each class outside the largest component of its group is compared with the whole group; what is shuffled is
+        a copy of each set for each block of the other side, and what comes out at most one link for each class, block
+        and component.
+        """
+        if lists.isEmpty():
+            return
+        groups = components(lists.select(F.col("node").alias("a"), (-1 - F.col("value")).alias("b"))).select(F.col("u").alias("node"), F.col("root").alias("g"))
+        of = save(lists.select("node", "root").distinct().join(groups, "node"), "groups")
+        sizes = save(of.groupBy("g", "root").agg(F.count("*").alias("c")), "sizes").groupBy("g").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("inside"))
+        blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+        sizes = save(sizes.select("g", "main", blocks(F.col("all") - F.col("inside")).alias("lefts"), blocks(F.col("all")).alias("rights")), "blocks")
+        of = save(of.join(sizes, "g").join(sets, "node"), "members")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        left = of.where("root <> main").select("g", own("lefts").alias("i"), every("rights").alias("j"), "node", "root", "members")
+        right = of.where("lefts > 0").select("g", every("lefts").alias("i"), own("rights").alias("j"), "node", "root", "members")
+        keys = ["g", "i", "j"]
+        self._merge(left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(_linked_blocks(self.percent), "a long, b long"))
 
     def _merge(self, links: DataFrame) -> None:
         links = save(links, "links")
@@ -212,23 +233,27 @@ class _Linker:
             self.roots = extended(self.roots, links)
 
 
-def _can_reach(n: str, rank: str, m: str, at: str, percent: int) -> Column:
-    """Whether sets of n and m values whose first common one has these ranks can reach the threshold."""
-    n, rank, m, at = map(F.col, (n, rank, m, at))
-    return (100 + percent) * F.least(n - rank, m - at) >= percent * (n + m)
+def _linked_blocks(percent: int):
+    """Links between two blocks of one group, enough to connect all that is linked."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            sizes = right["members"].map(len).to_numpy()
+            values = np.concatenate(right["members"].to_list())
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], np.repeat(np.arange(len(right)), sizes)[order]
+            nodes, roots = right["node"].to_numpy(), right["root"].to_numpy()
+            for node, root, members in zip(left["node"], left["root"], left["members"], strict=True):
+                lo, hi = np.searchsorted(values, members, "left"), np.searchsorted(values, members, "right")
+                hits = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
+                shared = np.bincount(owner[hits], minlength=len(right))
+                k = np.flatnonzero((100 * shared >= percent * (sizes + len(members) - shared)) & (roots != root))
+                _, once = np.unique(roots[k], return_index=True)
+                out += [(node, b) for b in nodes[k[once]].tolist()]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-
-def _block_pairs(open_: DataFrame, percent: int) -> DataFrame:
-    """open_(value, node, n, rank, root, members): the pairs of a list across roots that can reach the threshold.
-
-    Each member goes to the blocks of its list once for each other block: a row of a few numbers, not a set.
-    """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    of = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    left = of.select("value", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), "node", "n", "rank", "root")
-    right = of.select("value", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("rank").alias("at"), F.col("root").alias("q"))
-    met = left.join(right, ["value", "i", "j"]).where((F.col("root") != F.col("q")) & ((F.col("i") < F.col("j")) | (F.col("node") < F.col("other"))) & _can_reach("n", "rank", "m", "at", percent))
-    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return run
 
 
 def near_duplicates(documents: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
