@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.natives import row_keys
+
 RATE = 0.05
 PIECE = 16
 BLOCK_CHARS = 2_000_000
@@ -113,22 +115,22 @@ def _match_batches(items: list[tuple[int, str]]):
         machine = automaton(items)
         for batch in batches:
             out = []
-            for doc, key, text in zip(batch.column("doc_id"), batch.column("key"), batch.column("text"), strict=True):
+            for doc, key, more, text in zip(*(batch.column(c) for c in ("doc_id", "key", "more", "text")), strict=True):
                 if (t := text.as_py()) and (found := matches(plain(t), items, machine)):
-                    out += [(doc.as_py(), key.as_py(), item, *place) for item, place in found.items()]
+                    out += [(doc.as_py(), key.as_py(), more.as_py(), item, *place) for item, place in found.items()]
             if out:
                 cols = zip(*out, strict=True)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "key", "item_id", "n_errors", "start", "end"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "key", "more", "item_id", "n_errors", "start", "end"])
 
     return run
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each document and item it holds: doc_id, key (xxhash64 of doc_id and text), item_id, n_errors,
-    start, end."""
-    schema = "doc_id long, key long, item_id long, n_errors int, start long, end long"
-    rows = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    """A row for each document and item it holds: doc_id, key and more (row_keys of doc_id and text),
+    item_id, n_errors, start, end."""
+    schema = "doc_id long, key long, more int, item_id long, n_errors int, start long, end long"
+    rows = documents.select("doc_id", "text", *row_keys("doc_id", "text"))
     items = benchmark.where("trim(text) <> ''").select("item_id", "text")
     blocks = 1 + (items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // BLOCK_CHARS)
     out = None

@@ -86,7 +86,7 @@ def mix_sources(documents: DataFrame, quality: DataFrame | None = None, weights:
         "target",
         "epochs",
         "rest",
-        F.when(F.col("before") + F.col("sum") <= F.col("rest"), 1).when(F.col("before") >= F.col("rest"), 0).alias("picked"),
+        F.when(F.col("rest") <= 0, 0).when(F.col("before") + F.col("sum") <= F.col("rest"), 1).when(F.col("before") >= F.col("rest"), 0).alias("picked"),
     )
     bins = save(bins, "ranges")
     docs = docs.join(bins, F.expr("source <=> s and bin = k")).drop("s", "k")

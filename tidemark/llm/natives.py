@@ -38,3 +38,8 @@ def screened(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     marked = rows.withColumn("_bucket", F.bitmap_bucket_number(spot)).join(F.broadcast(bits), "_bucket")  # at most SCREEN_BITS / 32768 + 1 rows of 4 KB
     return marked.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("_bucket", "_bits")
+
+
+def row_keys(*columns: str) -> list[Column]:
+    """key and more: 96 bits that tell rows with different columns apart."""
+    return [F.xxhash64(*columns).alias("key"), F.hash(*columns).alias("more")]

@@ -1,18 +1,24 @@
 """Quality rules and robust multivariate outliers.
 
 Counts of each text become a vector of transformed statistics. For each language and source the minimum
-covariance determinant is approached by concentration steps from a median and MAD start: the SHARE of the rows
-with the least Mahalanobis distance gives the next mean and covariance. Rows far from the final estimate,
-scaled so that the median distance is that of a chi-square, are rejected.
+covariance determinant is approached from three starts at once: rows are ranked by the sum of their squared robust
+scores, by the largest, and by the sum of bounded ones. A concentration step takes the SHARE of the rows nearest by
+the last ranking, and ranks all rows anew by the Mahalanobis distance from their mean and covariance. A start ends
+when its determinant falls no more; the start with the least determinant gives the estimate. Covariances carry the
+factor that makes them right for normal rows, plus squared FLOORS on the diagonal, so that statistics which
+are nearly always zero leave a determinant to compare (the regularised form of the method). Rows beyond the 0.999
+point of the chi-square distribution are rejected.
 
 Result rules: words are [^\\x20\\x09-\\x0D]+, null texts have none. A cell of fewer than LEAST rows uses its
-language's estimate, a language of fewer that of all rows; either is made of all rows of the language or table. Null languages and sources are cells of their own.
-Repeated rows are judged alike. Columns other than doc_id, text, lang and source are ignored.
-
-At scale: texts are read once and only the counts are kept; each step is one grouped aggregation of partial
-sums, quantiles are mergeable sketches, so a source with a third of all rows is spread like any other. A row
-counts in up to three cells, those that no row uses are left out. Estimates
-are tables joined back; Spark broadcasts them only below its own size limit.
+language's estimate, a language of fewer that of all rows; either is made of all rows of the language or table. Null
+languages and sources are cells of their own. Repeated rows are judged alike. Columns other than doc_id, text, lang
+and source are ignored. Medians and shares are found by counts on a fixed grid, so they don't depend on how
+rows are dealt out; sums of doubles may differ in their last bits.
+
+At scale: texts are read once and only the counts are kept. A step is one grouped aggregation of counts and partial
+sums by cell, start and step of distance (GRID steps an octave), so a source with a third of all rows is spread like
+any other and what a cell's task gets is a bounded number of grid points. A row counts in up to three cells, those that
+no row uses are left out. Estimates are tables joined back; Spark broadcasts them only below its own size limit.
 """
 
 from __future__ import annotations
@@ -22,21 +28,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.vectortext import BYTES, grams, pieces, prefix_hash, substring_hash, word_hashes, words
 from tidemark.llm.worktables import save
 
 SHARE = 0.75
-STEPS = 3
+#: SHARE over what a chi-square of seven degrees has below the SHARE point of one of five
+FACTOR = 1.4121
+#: at most so many concentration steps
+STEPS = 20
 LEAST = 200
-ACCURACY = 1000
-#: squared distance beyond which a row is rejected, with NAMES statistics
-CUTOFF = 120.0
-CHI2_MEDIAN = {1: 0.455, 2: 1.386, 3: 2.366, 4: 3.357, 5: 4.351, 6: 5.348}
+#: squared distance beyond which a row is rejected: the 0.999 point of a chi-square with five degrees of freedom
+CUTOFF = 20.515
+#: grid of statistics (parts of one) and of squared distances (steps an octave)
+FINE, GRID = 2048, 16
+STARTS = 3
 NAMES = ("length", "symbols", "upper", "copies", "stops")
-#: no statistic's standard deviation counts as less than this; a text may well repeat a line or hold a few signs
+#: added to each statistic's standard deviation, in squares; a text may well repeat a line or hold a few signs
 FLOORS = (0.05, 0.05, 0.05, 0.2, 0.05)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stops")
 
@@ -107,21 +117,23 @@ def statistics() -> list[Column]:
     ]
 
 
-def _estimates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """cell, mean and inverse covariance (flat) from sums n, s, ss (flat upper triangle)."""
+def _estimate(bins: pd.DataFrame) -> pd.DataFrame:
+    """The next estimate of one cell and start, from counts and sums of its rows by grid point of distance."""
     p = len(NAMES)
     upper = np.triu_indices(p)
-    for frame in batches:
-        means, inverses = [], []
-        for n, s, ss in zip(frame["n"], frame["s"], frame["ss"], strict=True):
-            mean = np.asarray(s) / max(n, 1)
-            cov = np.zeros((p, p))
-            cov[upper] = np.asarray(ss) / max(n, 1)
-            cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-            cov[np.diag_indices(p)] = np.maximum(cov.diagonal(), 0) + np.square(FLOORS)
-            means.append(mean.tolist())
-            inverses.append(np.linalg.inv(cov).ravel().tolist())
-        yield pd.DataFrame({"cell": frame["cell"], "mean": means, "inverse": inverses})
+    bins = bins.sort_values("bin")
+    reached = np.cumsum(bins["n"].to_numpy())
+    inner = bins.iloc[: int(np.searchsorted(reached, SHARE * reached[-1])) + 1]
+    n = inner["n"].sum()
+    mean = np.sum(np.stack(inner["s"]), 0) / n
+    cov = np.zeros((p, p))
+    cov[upper] = np.sum(np.stack(inner["ss"]), 0) / n
+    cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
+    values, axes = np.linalg.eigh(FACTOR * cov)
+    cov = axes @ np.diag(np.maximum(values, 0)) @ axes.T + np.diag(np.square(FLOORS))
+    first = bins.iloc[0]
+    row = {"cell": first["cell"], "start": first["start"], "mean": mean, "inverse": np.linalg.inv(cov).ravel(), "det": float(np.linalg.det(cov))}
+    return pd.DataFrame([row])
 
 
 def distance() -> Column:
@@ -131,26 +143,45 @@ def distance() -> Column:
     return sum((d[i] * d[j] * F.col("inverse")[i * p + j] * (1 if i == j else 2) for i in range(p) for j in range(i, p)), F.lit(0.0))
 
 
-def _sums(inner: DataFrame) -> DataFrame:
+def _step(ranked: DataFrame) -> DataFrame:
+    """ranked(cell, start, x, d): cell, start, mean, inverse and det from the SHARE of the rows with the least d."""
     p = range(len(NAMES))
-    s = F.array(*(F.coalesce(F.sum(F.col("x")[i]), F.lit(0.0)) for i in p)).alias("s")
-    ss = F.array(*(F.coalesce(F.sum(F.col("x")[i] * F.col("x")[j]), F.lit(0.0)) for i in p for j in p if j >= i)).alias("ss")
-    return inner.groupBy("cell").agg(F.count("*").alias("n"), s, ss).mapInPandas(_estimates, "cell string, mean array<double>, inverse array<double>")
+    s = F.array(*(F.sum(F.col("x")[i]) for i in p)).alias("s")
+    ss = F.array(*(F.sum(F.col("x")[i] * F.col("x")[j]) for i in p for j in p if j >= i)).alias("ss")
+    point = F.floor(GRID * F.log2(F.greatest("d", F.lit(1e-9)))).cast("int")
+    bins = ranked.withColumn("bin", point).groupBy("cell", "start", "bin").agg(F.count("*").alias("n"), s, ss)
+    kinds = "cell string, start int, mean array<double>, inverse array<double>, det double"
+    return save(bins.groupBy("cell", "start").applyInPandas(_estimate, kinds), "estimates")
+
+
+def _medians(rows: DataFrame, values: Column) -> DataFrame:
+    """cell and the medians of an array of values no less than 0, to a grid point, by counts."""
+    points = rows.select("cell", F.posexplode(F.transform(values, lambda v: F.floor(v * FINE)))).groupBy("cell", "pos", "col").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("cell", "pos")
+    upto = points.select("cell", "pos", "col", F.sum("n").over(w.orderBy("col")).alias("upto"), F.sum("n").over(w).alias("all"))
+    middle = upto.where("2 * upto >= all").groupBy("cell", "pos").agg(((F.min("col") + 0.5) / FINE).alias("v"))
+    return middle.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda m: m["v"]).alias("middle"))
 
 
 def concentrated(rows: DataFrame) -> DataFrame:
-    """rows(cell, x): cell, mean, inverse and scale of the MCD estimates."""
+    """rows(cell, x): cell, mean, inverse and det of the MCD estimates. Only a truth value a step comes to the driver."""
     p = range(len(NAMES))
-    middle = save(rows.groupBy("cell").agg(F.array(*(F.percentile_approx(F.col("x")[i], 0.5, ACCURACY) for i in p)).alias("mean")), "medians")
-    mads = rows.join(middle, "cell").groupBy("cell", "mean").agg(F.array(*(F.percentile_approx(F.abs(F.col("x")[i] - F.col("mean")[i]), 0.5, ACCURACY) for i in p)).alias("mad"))
-    flat = [F.pow(1.4826 * F.col("mad")[i] + FLOORS[i], F.lit(-2.0)) if i == j else F.lit(0.0) for i in p for j in p]
-    now = save(mads.select("cell", "mean", F.array(*flat).alias("inverse")), "start")
+    middle = save(_medians(rows, F.col("x")), "medians")
+    off = F.zip_with("x", "middle", lambda x, m: F.abs(x - m))
+    mads = save(_medians(rows.join(middle, "cell"), off).withColumnRenamed("middle", "mad"), "mads")
+    z = F.transform(F.sequence(F.lit(0), F.lit(len(NAMES) - 1)), lambda i: F.try_element_at(off, i + 1) / (1.4826 * F.try_element_at("mad", i + 1) + F.try_element_at(F.array(*map(F.lit, FLOORS)), i + 1)))
+    square = lambda a, f: sum((f(F.col("z")[i]) * f(F.col("z")[i]) for i in p), F.lit(0.0))  # noqa: E731, ARG005
+    ranks = F.array(square("z", lambda v: v), F.array_max("z"), square("z", F.tanh))
+    scored = rows.join(middle, "cell").join(mads, "cell").withColumn("z", z).select("cell", "x", F.posexplode(ranks).alias("start", "d"))
+    best = now = _step(scored)
     for _ in range(STEPS):
-        far = rows.join(now, "cell").select("cell", "x", distance().alias("d"))
-        limit = save(far.groupBy("cell").agg(F.percentile_approx("d", SHARE, ACCURACY).alias("limit")), "limits")
-        now = save(_sums(far.join(limit, "cell").where("d <= limit")), "estimates")
-    far = rows.join(now, "cell").groupBy("cell").agg((F.percentile_approx(distance(), 0.5, ACCURACY) / CHI2_MEDIAN[len(NAMES)]).alias("scale"))
-    return save(now.join(far, "cell").select("cell", "mean", "inverse", F.greatest("scale", F.lit(1e-6)).alias("scale")), "mcd")
+        new = _step(rows.join(now.select("cell", "start", "mean", "inverse"), "cell").select("cell", "start", "x", distance().alias("d")))
+        old = now.select("cell", "start", F.col("det").alias("before"))
+        now = save(new.join(old, ["cell", "start"]).where("det < before * (1 - 1e-9)").drop("before"), "falling")
+        if now.isEmpty():
+            break
+        best = save(best.join(now.select("cell", "start"), ["cell", "start"], "left_anti").unionByName(now), "best")
+    return save(best.groupBy("cell").agg(F.min_by(F.struct("mean", "inverse", "det"), F.struct("det", "start")).alias("e")).select("cell", "e.*"), "mcd")
 
 
 def _cells(rows: DataFrame) -> DataFrame:
@@ -176,5 +207,5 @@ def quality_outliers(documents: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     rows = save(_cells(rows), "placed")
     estimates = concentrated(rows.select(F.explode("cells").alias("cell"), "x"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = rows.join(estimates, "cell").withColumn("distance", distance() / F.col("scale"))
+    out = rows.join(estimates, "cell").withColumn("distance", distance())
     return out.select("doc_id", *COUNTS, failed.alias("base_failed"), "distance", (~failed & (F.col("distance") <= cutoff)).alias("kept"))
