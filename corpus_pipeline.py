@@ -12,18 +12,21 @@ from pyspark.sql import functions as F
 from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.language import identify, of_documents
 from tidemark.llm.mixing import mix_sources, quality_weights
+from tidemark.llm.natives import row_keys
 from tidemark.llm.near_dups import near_duplicates
 from tidemark.llm.pii import find_pii, masked
 from tidemark.llm.worktables import save
 
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """docs without the rows whose key is in keys(key)."""
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(save(keys.select(F.col("key").alias("_key")).distinct(), "dropped"), "_key", "left_anti").drop("_key")
+    """docs without the rows whose key and more are in keys."""
+    keys = save(keys.select(F.col("key").alias("_key"), F.col("more").alias("_more")).distinct(), "dropped")
+    key, more = row_keys("doc_id", "text")
+    return docs.withColumns({"_key": key, "_more": more}).join(keys, ["_key", "_more"], "left_anti").drop("_key", "_more")
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language told with confidence stay."""
+    """Documents in a language told with confidence stay; source is the host, its suffix that of the address."""
     return _without(docs, identify(of_documents(docs)).where(~F.col("kept")))
 
 
