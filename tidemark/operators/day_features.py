@@ -6,6 +6,8 @@ end one row before the current one and are joined back to the games. NaN counts
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,10 +47,15 @@ def rolling_deviation(c: str, rows: int | None = None) -> Column:
     return F.when(F.count(c).over(w) >= 2, F.stddev_pop(c).over(w))
 
 
-def ewm_mean(c: str, span: int) -> Column:
-    """Exponentially weighted mean of earlier days, unadjusted; missing days keep the mean."""
+def ewm_mean(c: str, span: int, prior: str) -> Column:
+    """Exponentially weighted mean of earlier days, unadjusted; missing days keep the mean.
+
+    prior: the number of earlier days with a value. Older values than `reach` weigh less than 2**-60 together, below
+    what a double tells apart, so a frame of that many values gives the mean of all.
+    """
     alpha = 2.0 / (span + 1)
-    past = F.collect_list(c).over(earlier())
+    reach = math.ceil(-60 * math.log(2) / math.log(1 - alpha))
+    past = F.collect_list(c).over(W.partitionBy("entity_id").orderBy(prior).rangeBetween(-reach, -1))
     step = lambda acc, v: F.when(acc.isNull(), v).otherwise(alpha * v + (1 - alpha) * acc)
     return F.aggregate(past, F.lit(None).cast("double"), step)
 
@@ -56,7 +63,7 @@ def ewm_mean(c: str, span: int) -> Column:
 def day_windows(days: DataFrame, c: str = "minutes") -> DataFrame:
     """days with every feature of measure c."""
     rate = F.try_divide("points", F.nullif(F.col("minutes"), F.lit(0.0)))
-    days = days.withColumn("rate", rate)
+    days = days.withColumn("rate", rate).withColumn("_prior", F.count(c).over(earlier()))
     out = days.withColumns(
         {
             "prior_value": F.lag(c, 1).over(_days()),
@@ -66,12 +73,12 @@ def day_windows(days: DataFrame, c: str = "minutes") -> DataFrame:
             "season_mean": rolling_mean(c),
             "deviation_5": rolling_deviation(c, 5),
             "season_deviation": rolling_deviation(c),
-            "ewm_5": ewm_mean(c, 5),
+            **{f"ewm_{n}": ewm_mean(c, n, "_prior") for n in SPANS},
             "rate_5": rolling_mean("rate", 5),
         }
     )
     delta = F.col("mean_3") - F.col("season_mean")
-    return out.withColumn("role_delta", delta).withColumn("role_change", F.coalesce(F.abs(delta) >= ROLE_STEP, F.lit(False)).cast("int"))
+    return out.drop("_prior").withColumn("role_delta", delta).withColumn("role_change", F.coalesce(F.abs(delta) >= ROLE_STEP, F.lit(False)).cast("int"))
 
 
 def feature_frame(games: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ LEAST_ERRORS = 100
 DEFAULT = "mean_5"
 ALPHA = 0.1
 SHRINK = 250
-#: bins of one minute of error in the running counts
+#: bins of one minute of error, and of one bin, in the running counts
 BINS = 32
 HISTORY = ((9, "5-9"), (19, "10-19"))
 
@@ -63,27 +63,47 @@ def selected(rows: DataFrame, warm_up: int, least: int = LEAST_ERRORS) -> DataFr
     return rows.join(chosen, ["event_date", "candidate"])
 
 
+def _cell_of(counts: DataFrame, wanted: DataFrame, keys: list[str], cell: str) -> DataFrame:
+    """wanted(keys, event_date, day, k, ...) with the cell that holds the k-th least error of earlier days, and k within it.
+
+    counts(keys, cell, day, c): errors by cell and day. Counts up to each wanted day are running sums by cell, so what a
+    day meets is the cells of its keys, never its errors.
+    """
+    by_day = counts.groupBy(*keys, cell, "day").agg(F.sum("c").alias("c"))
+    asked = by_day.select(*keys, cell).distinct().join(wanted.select(*keys, "day").distinct(), keys)
+    both = by_day.withColumn("asked", F.lit(0)).unionByName(asked.withColumns({"c": F.lit(0).cast("long"), "asked": F.lit(1)}))
+    earlier = W.partitionBy(*keys, cell).orderBy("day").rangeBetween(W.unboundedPreceding, -1)
+    both = both.withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0))).where("asked = 1 and before > 0")
+    upto = F.sum("before").over(W.partitionBy(*keys, "day").orderBy(cell))
+    placed = wanted.join(both.select(*keys, cell, "day", "before", upto.alias("upto")), [*keys, "day"])
+    return placed.where("upto >= k and upto - before < k").withColumn("k", F.col("k") - F.col("upto") + F.col("before")).drop("upto", "before")
+
+
 def conformal(rows: DataFrame, *by: str, alpha: float = ALPHA) -> DataFrame:
     """Half-width for each date and group: order statistic min(n, ceil((n+1)(1-alpha))) of the errors of strictly
     earlier dates.
 
-    Running counts per date and bin of errors find the bin that holds the statistic; only the errors of that one
-    bin meet their date, so a date never gathers its whole history.
+    Found by counts in three steps: the bin that holds it, a part of that bin, and the error itself among the
+    different errors of that part. A date never gathers its history, and only counts by day are shuffled.
     """
     keys = [*by, "all"]
-    errors = rows.select(*by, F.lit(0).alias("all"), F.col("event_date").alias("day"), "error").withColumn("bin", F.floor(F.col("error") * BINS))
-    daily = errors.groupBy(*keys, "bin", "day").agg(F.count("*").alias("c"))
-    days = daily.select(*keys, F.col("day").alias("event_date")).distinct()
-    grid = daily.select(*keys, "bin").distinct().join(days, keys)
-    grid = grid.join(daily.withColumnRenamed("day", "event_date"), [*keys, "bin", "event_date"], "left")
-    past = F.coalesce(F.sum("c").over(W.partitionBy(*keys, "bin").orderBy("event_date").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    grid = grid.select(*keys, "event_date", "bin", past.alias("c")).where("c > 0")
-    day = W.partitionBy(*keys, "event_date")
-    grid = grid.withColumn("n", F.sum("c").over(day)).withColumn("upto", F.sum("c").over(day.orderBy("bin")))
-    grid = grid.withColumn("k", F.least(F.col("n"), F.ceil((F.col("n") + 1) * F.lit(1 - alpha))))
-    at = grid.where("upto >= k and upto - c < k").select(*keys, "bin", "event_date", "n", (F.col("k") - F.col("upto") + F.col("c")).cast("int").alias("nth"))
-    held = at.join(errors, [*keys, "bin"]).where("day < event_date").groupBy(*by, "event_date", "n", "nth").agg(F.sort_array(F.collect_list("error")).alias("errors"))
-    return held.select(*by, "event_date", "n", F.element_at("errors", F.col("nth")).alias("width"))
+    bin_, part = F.floor(F.col("error") * BINS), F.floor(F.col("error") * BINS * BINS * BINS)
+    counts = rows.select(*by, F.lit(0).alias("all"), "event_date", F.unix_date(F.to_date("event_date")).alias("day"), "error")
+    counts = counts.groupBy(*keys, "event_date", "day", "error").agg(F.count("*").alias("c")).withColumns({"bin": bin_, "part": part})
+    daily = counts.groupBy(*keys, "event_date", "day").agg(F.sum("c").alias("c"))
+    n = F.sum("c").over(W.partitionBy(*keys).orderBy("day").rangeBetween(W.unboundedPreceding, -1))
+    wanted = daily.select(*keys, "event_date", "day", n.alias("n")).where("n > 0")
+    wanted = wanted.withColumn("k", F.least(F.col("n"), F.ceil((F.col("n") + 1) * F.lit(1 - alpha))))
+    for cell in ("bin", "part", "error"):
+        wanted = _cell_of(counts, wanted, keys, cell)
+        keys = [*keys, cell]
+    return wanted.select(*by, "event_date", "n", F.col("error").alias("width"))
+
+
+def leveled(rows: DataFrame, levels: tuple[tuple[str, ...], ...]) -> DataFrame:
+    """rows once for each level, with its number and the values of its columns as cell."""
+    cell = lambda names: F.to_json(F.struct(*names)) if names else F.lit("")
+    return rows.select("event_date", "error", F.explode(F.array(*(F.struct(F.lit(i).alias("level"), cell(names).alias("cell")) for i, names in enumerate(levels)))).alias("_l")).select("event_date", "error", "_l.*")
 
 
 def intervals(rows: DataFrame, widths: DataFrame, *by: str) -> DataFrame:
@@ -116,32 +136,51 @@ def with_cells(rows: DataFrame) -> DataFrame:
 
 
 def cascade(rows: DataFrame, least: int = LEAST_CELL) -> DataFrame:
-    """rows of with_cells with width and level: that of the finest cell with `least` earlier errors, else pooled."""
-    levels = ["event_date", "role_change", "history", "volatility"]
-    width, level = F.col("_w0"), F.lit("pooled")
-    out = rows.join(conformal(rows).select("event_date", F.col("width").alias("_w0")), "event_date")
-    for i, keys in enumerate(CELLS, 1):
-        cell = conformal(rows, *keys).where(F.col("n") >= least).select(*keys, "event_date", F.col("width").alias(f"_w{i}"))
-        out = out.join(cell, [*keys, "event_date"], "left")
-        width = F.coalesce(f"_w{i}", width)
-        level = F.when(F.col(f"_w{i}").isNotNull(), "+".join(keys)).otherwise(level)
-    return out.select(*levels, *(c for c in rows.columns if c not in levels), width.alias("width"), level.alias("level"))
-
-
-SUMMARY = ("n", "coverage", "mean_width", "mae", "over_10")
-
-
-def interval_summary(rows: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
-    """Each dimension by itself and the whole, in one pass of grouping sets."""
-    sets = [[c] for c in dimensions] + [[]]
-    grouped = rows.groupingSets([[F.col(c) for c in s] for s in sets], *dimensions)
-    return grouped.agg(
-        F.count("*").alias("n"),
-        F.avg("covered").alias("coverage"),
-        F.avg(F.col("upper") - F.col("lower")).alias("mean_width"),
-        F.avg("error").alias("mae"),
-        F.avg((F.col("error") > 10).cast("double")).alias("over_10"),
-    )
+    """rows of with_cells with width and level: that of the finest cell with `least` earlier errors, else pooled.
+
+    All levels are calibrated in one pass over the rows.
+    """
+    levels = ((), *CELLS)
+    names = ["pooled", *("+".join(c) for c in CELLS)]
+    widths = conformal(leveled(rows, levels), "level", "cell").where((F.col("level") == 0) | (F.col("n") >= least))
+    cells = F.array(*(F.struct(F.lit(i).alias("level"), (F.to_json(F.struct(*c)) if c else F.lit("")).alias("cell")) for i, c in enumerate(levels)))
+    of = rows.select("event_date", *CELLS[-1]).distinct().withColumn("_l", F.explode(cells)).select("event_date", *CELLS[-1], "_l.*")
+    best = of.join(widths, ["event_date", "level", "cell"]).groupBy("event_date", *CELLS[-1]).agg(F.max_by(F.struct("level", "width"), "level").alias("b"))
+    best = best.select("event_date", *CELLS[-1], F.col("b.width").alias("width"), F.element_at(F.array(*map(F.lit, names)), F.col("b.level") + 1).alias("level"))
+    keys = ["event_date", *CELLS[-1]]
+    return rows.join(best, keys).select(*keys, *(c for c in rows.columns if c not in keys), "width", "level")
+
+
+SUMMARY = ("n", "dates", "coverage", "mean_width", "mae", "over_5", "over_10", "over_15")
+
+
+def interval_summary(rows: DataFrame, dimensions: tuple[str, ...], always: tuple[str, ...] = ()) -> DataFrame:
+    """Each dimension by itself and the whole, in one pass of grouping sets; `always` is in every set."""
+    sets = [[*always, c] for c in dimensions] + [[*always]]
+    grouped = rows.groupingSets([[F.col(c) for c in s] for s in sets], *always, *dimensions)
+    over = lambda x: F.avg((F.col("error") > x).cast("double")).alias(f"over_{x}")
+    width = F.avg(F.col("upper") - F.col("lower")).alias("mean_width")
+    return grouped.agg(F.count("*").alias("n"), F.countDistinct("event_date").alias("dates"), F.avg("covered").alias("coverage"), width, F.avg("error").alias("mae"), over(5), over(10), over(15))
+
+
+def season_phase(rows: DataFrame, day: str = "event_date") -> DataFrame:
+    """rows with the third of the span of all days that theirs falls in; a third holds its last day."""
+    span = rows.agg(F.min(day).alias("_first"), F.greatest(F.datediff(F.max(day), F.min(day)), F.lit(1)).alias("_days"))
+    share = F.datediff(day, "_first") / F.col("_days")
+    phase = F.when(share <= F.lit(1.0) / 3, "early").when(share <= F.lit(2.0) / 3, "middle").otherwise("late")
+    return rows.join(F.broadcast(span)).withColumn("phase", phase).drop("_first", "_days")  # span is one row
+
+
+def paired(rows: DataFrame, keys: list[str], equal: list[str], base: str, other: str) -> DataFrame:
+    """Rows of methods base and other side by side, with what must be equal and isn't in `differs`.
+
+    PAIRED, or DUPLICATE_METHOD_ROW, UNPAIRED where a method has several rows or none, or UNEQUAL_FIELDS.
+    """
+    side = lambda m: F.when(F.col("method") == m, F.struct(*(c for c in rows.columns if c not in (*keys, "method"))))
+    both = rows.where(F.col("method").isin(base, other)).groupBy(*keys).agg(F.count_if(F.col("method") == base).alias("n_base"), F.count_if(F.col("method") == other).alias("n_other"), F.first(side(base), True).alias("base"), F.first(side(other), True).alias("other"))
+    differs = F.array_compact(F.array(*(F.when(~F.col(f"base.{c}").eqNullSafe(F.col(f"other.{c}")), c) for c in equal)))
+    status = F.when((F.col("n_base") > 1) | (F.col("n_other") > 1), "DUPLICATE_METHOD_ROW").when((F.col("n_base") == 0) | (F.col("n_other") == 0), "UNPAIRED").when(F.size(differs) > 0, "UNEQUAL_FIELDS").otherwise("PAIRED")
+    return both.select(*keys, status.alias("status"), F.when(status == "UNEQUAL_FIELDS", differs).alias("differs"), "base", "other")
 
 
 def block_bootstrap(daily: DataFrame, draws: DataFrame) -> DataFrame:
