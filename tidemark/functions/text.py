@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Latin letters with marks and what they stand for; fixed values
 MARKED = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ"
@@ -29,6 +33,13 @@ def first_last(c: str | Column) -> Column:
     return F.when(c.contains(","), F.concat_ws(" ", F.trim(parts[1]), F.trim(parts[0]))).otherwise(c)
 
 
+@F.pandas_udf(StringType())
+def folded(c: pd.Series) -> pd.Series:
+    """Full case folding of what compatibility decomposition leaves without marks, white space collapsed: for names beyond plain_name."""
+    bare = lambda s: "".join(x for x in unicodedata.normalize("NFKD", s) if not unicodedata.combining(x))
+    return c.map(lambda s: " ".join(bare(s).casefold().split()), na_action="ignore")
+
+
 def sentences(c: str | Column) -> Column:
     return F.split(c, r"(?<=[.!?])\s+")
 
@@ -67,13 +78,6 @@ def links(html: str | Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), 1)
 
 
-def clock_seconds(c: str | Column) -> Column:
-    """PT11M42.00S or MM:SS in seconds."""
-    iso = F.regexp_extract(c, r"^PT(\d+)M([\d.]+)S$", 1).try_cast("double") * 60 + F.regexp_extract(c, r"^PT(\d+)M([\d.]+)S$", 2).try_cast("double")
-    colon = F.regexp_extract(c, r"^(\d+):(\d+)$", 1).try_cast("double") * 60 + F.regexp_extract(c, r"^(\d+):(\d+)$", 2).try_cast("double")
-    return F.coalesce(iso, colon)
-
-
 def record_id(*columns: str) -> Column:
     """The first 20 digits of the SHA-256 of the fields joined by |."""
     return F.substring(F.sha2(F.concat_ws("|", *columns), 256), 1, 20)

@@ -81,8 +81,28 @@ def snapshot(games: DataFrame, entities: DataFrame, day: str) -> DataFrame:
     return out.withColumn("status", F.when(F.col("games") == 0, "ZERO_HISTORY").otherwise("OK"))
 
 
+def dated_support(rows: DataFrame, members: DataFrame, key: str, day: str, claim: str) -> DataFrame:
+    """rows with supports and conflicts (0 or 1): whether the memberships of their key that hold their day, both ends in, say
+    what the row claims or something else. Rows that no membership holds are left out.
+
+    members(key, member, valid_from, valid_to) is as memberships() gives it, so a day meets the latest one, and the one before
+    only on the very day of a change: rows are carried along their key and never meet all of its memberships. One that
+    hasn't ended holds no day yet.
+    """
+    w = W.partitionBy(key).orderBy("valid_from")
+    known = members.select(key, F.when(F.col("valid_to").isNotNull(), F.col("member")).alias("_member"), "valid_from", F.lag("member").over(w).alias("_before"))
+    out = as_of(rows, known, key, day, "valid_from", ["_member", "valid_from", "_before"], "valid_from")
+    out = out.withColumn("_before", F.when(F.col(day) == F.col("valid_from"), F.col("_before"))).where("_member is not null or _before is not null")
+    says = lambda f: F.greatest(*(F.coalesce(f(F.col(m)), F.lit(False)) for m in ("_member", "_before"))).cast("int")
+    return out.withColumns({"supports": says(lambda m: m == F.col(claim)), "conflicts": says(lambda m: m != F.col(claim))}).drop("_member", "valid_from", "_before")
+
+
 def ledger(captures: DataFrame, digest: str, order: str) -> DataFrame:
-    """An append log with what each capture repeats: SUCCESS for a digest's first, DUPLICATE with the first's number."""
-    first = F.min(order).over(W.partitionBy(digest))
-    out = captures.withColumn("first", first)
-    return out.withColumn("outcome", F.when(F.col(order) == F.col("first"), "SUCCESS").otherwise("DUPLICATE")).withColumn("duplicate_of", F.when(F.col(order) != F.col("first"), F.col("first"))).drop("first")
+    """An append log with what each capture repeats: SUCCESS for a digest's first, DUPLICATE with the first's number.
+
+    The first of a digest is found by partial aggregation, so one that repeats without end is no task of its own.
+    """
+    first = captures.groupBy(F.col(digest).alias("_digest")).agg(F.min(order).alias("_first"))
+    out = captures.join(first, F.col(digest).eqNullSafe(F.col("_digest"))).drop("_digest")
+    repeat = F.col(order) != F.col("_first")
+    return out.withColumns({"outcome": F.when(repeat, "DUPLICATE").otherwise("SUCCESS"), "duplicate_of": F.when(repeat, F.col("_first"))}).drop("_first")

@@ -114,9 +114,8 @@ def membership_on_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_MEMBER} select o.o_orderkey, max(case when m.member = o.o_orderpriority then 1 else 0 end) as supports, max(case when m.member <> o.o_orderpriority then 1 else 0 end) as conflicts from orders o join m on m.o_custkey = o.o_custkey and o.o_orderdate between valid_from and valid_to group by 1")
 def dated_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
-    both = orders.join(_members(spark, sf_dir), "o_custkey").where(tm.closed(F.col("o_orderdate"), F.col("valid_from"), F.col("valid_to")))
-    same = F.col("member") == F.col("o_orderpriority")
-    return both.groupBy("o_orderkey").agg(F.max(same.cast("int")).alias("supports"), F.max((~same).cast("int")).alias("conflicts"))
+    held = tm.dated_support(orders, _members(spark, sf_dir), "o_custkey", "o_orderdate", "o_orderpriority")
+    return held.groupBy("o_orderkey").agg(F.max("supports").alias("supports"), F.max("conflicts").alias("conflicts"))
 
 
 @query(

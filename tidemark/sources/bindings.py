@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.identity import TEAMS
+from tidemark.operators.report_lines import REPORT_NAMES
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,3 +34,36 @@ ENTITY_GAMES = """
         try_cast(json_extract_string(props, '$.k') as bigint) as extras
  from events
 """
+
+
+LAST_NAMES = ("Smith", "Van Dyke", "O'Neal", "Jones")
+FIRST_NAMES = ("John", "Ann-Marie", "P.J.", "Lee")
+_listed = lambda names: "[" + ", ".join("'" + n.replace("'", "''") + "'" for n in names) + "]"
+
+
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as lines of status reports: doc, page, line, text; dates, matchups with a team, and players' statuses."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    team, code, other = pick(REPORT_NAMES, c % 30), pick(TEAMS, c % 30), pick(TEAMS, (c + 1 + k % 7) % 30)
+    name = F.concat(pick(LAST_NAMES, F.expr("o_orderkey div 5 % 4")), F.lit(", "), pick(FIRST_NAMES, F.expr("o_orderkey div 11 % 4")))
+    text = (
+        F.when(k % 5 == 0, F.concat(F.lit("Injury Report: "), F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit(" 05:30 PM")))
+        .when(k % 5 == 1, F.concat(F.lit("07:00 (ET) "), code, F.lit("@"), other, F.lit(" "), team))
+        .when(k % 5 == 2, F.concat(team, F.lit(" "), name, F.lit(" Out Injury/Illness - Left Knee; Sprain")))
+        .when(k % 5 == 3, F.concat(name, F.lit(" Questionable")))
+        .otherwise(F.concat(F.lit("see note "), name, F.lit(" Probable Coach Decision")))
+    )
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (c % 40).alias("doc"), F.expr("o_orderkey div 7 % 3").alias("page"), text.alias("text"))
+    return rows.withColumn("line", F.row_number().over(Window.partitionBy("doc", "page").orderBy("o_orderkey"))).drop("o_orderkey")
+
+
+#: the same in SQL
+REPORT_LINES = f"""
+ select doc, page, row_number() over (partition by doc, page order by o_orderkey) as line, text from (select o_orderkey, o_custkey % 40 as doc, o_orderkey // 7 % 3 as page,
+  case o_orderkey % 5 when 0 then 'Injury Report: ' || strftime(o_orderdate, '%m/%d/%Y') || ' 05:30 PM'
+   when 1 then '07:00 (ET) ' || {_listed(TEAMS)}[o_custkey % 30 + 1] || '@' || {_listed(TEAMS)}[(o_custkey + 1 + o_orderkey % 7) % 30 + 1] || ' ' || {_listed(REPORT_NAMES)}[o_custkey % 30 + 1]
+   when 2 then {_listed(REPORT_NAMES)}[o_custkey % 30 + 1] || ' ' || {_listed(LAST_NAMES)}[o_orderkey // 5 % 4 + 1] || ', ' || {_listed(FIRST_NAMES)}[o_orderkey // 11 % 4 + 1] || ' Out Injury/Illness - Left Knee; Sprain'
+   when 3 then {_listed(LAST_NAMES)}[o_orderkey // 5 % 4 + 1] || ', ' || {_listed(FIRST_NAMES)}[o_orderkey // 11 % 4 + 1] || ' Questionable'
+   else 'see note ' || {_listed(LAST_NAMES)}[o_orderkey // 5 % 4 + 1] || ', ' || {_listed(FIRST_NAMES)}[o_orderkey // 11 % 4 + 1] || ' Probable Coach Decision' end as text from orders)
+"""
