@@ -4,7 +4,10 @@ import hashlib
 import random
 import re
 
-from tidemark.llm.reference_parse import reference_dedup
+import numpy as np
+
+from tidemark.llm.natives import row_keys
+from tidemark.llm.reference_parse import factor_table, factors, reference_dedup
 from tidemark.llm.suffix_dedup import suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, starts int, n string"
@@ -75,3 +78,28 @@ def test_repeated_rows_and_empty_tables(spark):
     assert suffix_dedup(df).count() == 4 and reference_dedup(df).count() == 4
     none = df.limit(0)
     assert suffix_dedup(none).count() == 0 and reference_dedup(none).count() == 0
+
+
+def test_factors_are_earlier_and_equal(spark):
+    rows = corpus(4)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t, *_ in rows}
+    of = {(r.key, r.more): r.doc_id for r in df.groupBy(*row_keys("text")).agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "doc_id").collect()}
+    seen = 0
+    for r in factor_table(df, 12).collect():
+        d, last = of[r.key, r.more], -1
+        for a, b, ref, q in zip(r.starts, r.ends, r.refs, r.ref_starts, strict=True):
+            assert b - a >= 12 and a > last and (ref, q) < (d, a)
+            assert words[d][a:b] == words[ref][q : q + b - a]
+            seen, last = seen + 1, a
+    assert seen > 20
+
+
+def test_longest_reference_wins():
+    # phrases 0..9 of the document: 0-3 lie at reference 1, 1-9 at reference 2, which also holds phrase 0 just before
+    ids = np.arange(100, 110, dtype=np.int32)
+    blocks = {(1, 0, 0): np.array([100, 101, 102, 103, 7], np.int32), (2, 0, 0): np.arange(99, 110, dtype=np.int32)}
+    runs = [(0, 2, 11, 1, 0, 0), (2, 8, 12, 2, 0, 3)]
+    assert factors(ids, runs, blocks, 5) == [(0, 14, 12, 1)]
+    assert factors(ids, runs, {}, 5) == [(0, 6, 11, 0), (2, 14, 12, 3)]
+    assert factors(ids, [(0, 2, 11, 1, 0, 0), (6, 3, 12, 2, 0, 7)], {}, 5) == [(0, 6, 11, 0), (6, 13, 12, 7)]

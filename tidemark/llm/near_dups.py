@@ -42,7 +42,7 @@ WORDS = 5
 PERCENT = 75
 K = 64
 SHORT = 32
-ROUNDS = 4
+ROUNDS = 2
 #: lists of full sets that a class links through in one round
 TRIED = 8
 #: members of a block when what is left of a group is compared in full

@@ -14,8 +14,7 @@ that also starts anywhere else. Matches never cross rows. Two equal rows are two
 the other's text. Strings are judged on the input. Columns of the input other than doc_id and text are ignored.
 Strings are told apart by their bucket and a second identifier, 128 bits of content hashes; texts by 96 bits.
 
-At scale: about 1/76 suffix a byte is written once and read with few columns; counts are combined before the
-shuffle. The joins that follow a count are plain joins of two written tables, so adaptive execution splits a
+At scale: about 1/38 suffix a byte is shuffled to be counted, and those of repeated buckets are written once. The joins that follow a count are plain joins of two written tables, so adaptive execution splits a
 bucket that a third of all rows share. Only texts with a repeated string move. Nothing is collected.
 """
 
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.natives import row_keys, screened
 from tidemark.llm.vectortext import BASE, BYTES, INVERSE, U, join_ids, mix, pieces, powers, prefix_hash, sampled, signed, substring_hash
-from tidemark.llm.worktables import save
+from tidemark.llm.worktables import release, save
 
 LENGTH = 200
 #: rounds of refinement: a string is four q-grams long
@@ -40,7 +39,8 @@ KEYS = ["key", "more"]
 #: room for the number of starts in a mark
 STARTS = 1 << 20
 RIGHT, LEFT = ([f"{side}{k}" for k in range(1, ROUNDS + 1)] for side in ("right", "left"))
-SUFFIX = {"bucket": "long", "class": "long", "key": "long", "more": "int", "pos": "int", "near": "int", "far": "int"} | dict.fromkeys(RIGHT + LEFT, "int")
+START = {"bucket": "long", "class": "long"}
+SUFFIX = START | {"key": "long", "more": "int", "pos": "int", "near": "int", "far": "int"} | dict.fromkeys(RIGHT + LEFT, "int")
 
 
 def start_ids(data: np.ndarray, depth: int) -> np.ndarray:
@@ -81,8 +81,8 @@ def owned(at: np.ndarray, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, lengt
     return np.maximum(before + 1, at - width + 1), np.minimum(np.minimum(at, hi - length), after - width)
 
 
-def _suffix_batches(length: int):
-    """A row of SUFFIX for each sampled suffix that owns strings: near and far tell how many bytes before it the last
+def _suffix_batches(length: int, whole: bool):
+    """A row of SUFFIX, or of START only, for each sampled suffix that owns strings: near and far tell how many bytes before it the last
     and the first of them start, class what they all hold, right and left the q-grams around it, null beyond the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +100,11 @@ def _suffix_batches(length: int):
                 if not len(k):
                     continue
                 at, row, lo, hi, first, last = (x[k] for x in (at, row, lo, hi, first, last))
-                whole = substring_hash(prefix_hash(BYTES[data]), first, last + length)
-                whole = mix(whole ^ (at - first).astype(U) * BASE)
+                held = substring_hash(prefix_hash(BYTES[data]), first, last + length)
+                held = mix(held ^ (at - first).astype(U) * BASE)
+                if not whole:
+                    yield pa.RecordBatch.from_arrays([signed(ids[at]), signed(held)], names=list(START))
+                    continue
                 blocks = []
                 for side in (1, -1):
                     for n in range(1, ROUNDS + 1):
@@ -109,7 +112,7 @@ def _suffix_batches(length: int):
                         out = (p < lo) | (p + gram > hi)
                         blocks.append(pa.array((ids[np.where(out, at, p)] >> U(32)).astype(np.uint32).view(np.int32), mask=out))
                 small = [pa.array(x.astype(np.int32)) for x in (more[i + row], at - lo, at - last, at - first)]
-                yield pa.RecordBatch.from_arrays([signed(ids[at]), signed(whole), signed(keys[i + row]), *small, *blocks], names=list(SUFFIX))
+                yield pa.RecordBatch.from_arrays([signed(ids[at]), signed(held), signed(keys[i + row]), *small, *blocks], names=list(SUFFIX))
 
     return run
 
@@ -204,28 +207,33 @@ def repeated_substrings(documents: DataFrame, length: int = LENGTH) -> DataFrame
     if length < 8 or length % 8:
         raise ValueError("length must be a multiple of 8")
     rows = documents.select("text", *row_keys("doc_id", "text"))
-    suffixes = save(rows.mapInArrow(_suffix_batches(length), ", ".join(f"{c} {t}" for c, t in SUFFIX.items())), "suffixes")
-    buckets = suffixes.groupBy("bucket").agg(F.count("*").alias("n"), (F.min("class") < F.max("class")).alias("mixed")).where("n > 1")
+    sampled_as = lambda kinds: rows.mapInArrow(_suffix_batches(length, kinds is SUFFIX), ", ".join(f"{c} {t}" for c, t in kinds.items()))
+    buckets = sampled_as(START).groupBy("bucket").agg(F.count("*").alias("n"), (F.min("class") < F.max("class")).alias("mixed")).where("n > 1")
     buckets = save(buckets.select("bucket", "mixed"), "buckets")
+    suffixes = screened(sampled_as(SUFFIX), buckets, "bucket").join(buckets, "bucket")
+    suffixes = save(suffixes.withColumns({c: F.when(F.col("mixed"), F.col(c)) for c in RIGHT + LEFT}), "suffixes")
     starts = lambda df: df.select(*KEYS, ((F.col("pos") - F.col("far")).cast("long") * STARTS + F.col("far") - F.col("near") + 1).alias("mark"))
-    narrow = suffixes.select("bucket", *KEYS, "pos", "near", "far")
-    alike = starts(narrow.join(buckets.where("not mixed"), "bucket"))
-
-    mixed = save(suffixes.join(buckets.where("mixed").select("bucket"), "bucket"), "mixed")
-    rest = [c for c in SUFFIX if c not in ("bucket", "class")]
+    alike, mixed = starts(suffixes.where("not mixed")), suffixes.where("mixed")
+    rest = [c for c in SUFFIX if c not in START]
     counted = save(mixed.groupBy("bucket", "class").agg(F.count("*").alias("n"), F.min(F.struct(*rest)).alias("one")), "counted")
     agreed = starts(mixed.select("bucket", "class", *KEYS, "pos", "near", "far").join(counted.where("n > 1").select("bucket", "class"), ["bucket", "class"]))
     # a class alone may match others in part; of a class of several one suffix stands for all
     asked = refined(counted.select("bucket", "one.*", (F.col("n") == 1).alias("ask")), length)
     asked = save(asked.groupBy(*KEYS).agg(F.collect_list(F.struct("bucket", "pos", "near", "far", "ask")).alias("suffixes")), "asked")
     spelled = screened(rows, asked, "key").join(asked, KEYS).mapInArrow(_string_batches(length), "bucket long, string long, ask boolean, key long, more int, start int")
-    spelled = save(spelled, "strings")
-    again = save(spelled.groupBy("bucket", "string").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "string"), "again")
-    hits = spelled.where("ask").join(again, ["bucket", "string"]).select(*KEYS, (F.col("start").cast("long") * STARTS + 1).alias("mark"))
+    spelled = save(spelled.withColumn("id", F.xxhash64("bucket", "string")), "strings")
+    # one identifier sorts out most strings; those it leaves are counted by both
+    maybe = save(spelled.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "maybe")
+    left = save(screened(spelled, maybe, "id").join(maybe, "id").drop("id"), "left")
+    again = save(left.groupBy("bucket", "string").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "string"), "again")
+    hits = left.where("ask").join(again, ["bucket", "string"]).select(*KEYS, (F.col("start").cast("long") * STARTS + 1).alias("mark"))
 
     marks = save(alike.unionByName(agreed).unionByName(hits).groupBy(*KEYS).agg(F.collect_set("mark").alias("marks")), "marks")
+    release(buckets, suffixes, counted, asked, spelled, maybe, left, again)
     out = screened(rows, marks, "key").join(marks, KEYS).mapInArrow(_removal_batches(length), "key long, more int, n_removed long, kept_sha256 string, starts array<long>, ends array<long>")
-    return save(out.dropDuplicates(KEYS), "removed")
+    out = save(out.dropDuplicates(KEYS), "removed")
+    release(marks)
+    return out
 
 
 def suffix_dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:

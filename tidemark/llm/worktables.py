@@ -36,4 +36,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that save() returned, once nothing reads them any more: what it returned later is made."""
+    for t in tables:
+        spark = t.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(t.saved_at)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
