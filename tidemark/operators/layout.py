@@ -68,3 +68,42 @@ def bands(rows: DataFrame, page: str, y: str) -> DataFrame:
     order = W.partitionBy(page).orderBy(y)
     half = lambda other: (F.col(y) + other) / 2
     return rows.withColumn("upper", half(F.lag(y).over(order))).withColumn("lower", half(F.lead(y).over(order)))
+
+
+SAME_WIDTH = 2.0
+GOES_ON = 18.0
+
+
+def header_lanes(words: DataFrame, names: Sequence[str]) -> DataFrame:
+    """words(doc, page, width, x, y, text) below their page's header with the lane they lie in, by the left edges of the header's words.
+
+    A page without a header takes that of the last page before it with one, if their widths differ by SAME_WIDTH at
+    most; else its words have no lane. A page's header is a row of a few numbers, carried over the document's pages.
+    """
+    is_head = F.col("text").isin(*names)
+    pages = words.groupBy("doc", "page").agg(
+        F.max("width").alias("_width"),
+        F.collect_set(F.when(is_head, F.struct(F.col("x"), F.col("text").alias("lane")))).alias("_heads"),
+        F.max(F.when(is_head, F.col("y"))).alias("_head_y"),
+    )
+    own = F.when(F.size("_heads") == len(names), F.struct(F.col("_width").alias("width"), F.array_sort("_heads").alias("heads")))
+    last = F.last(own, ignorenulls=True).over(W.partitionBy("doc").orderBy("page").rowsBetween(W.unboundedPreceding, 0))
+    pages = pages.withColumn("_h", last)
+    usable = F.when(F.abs(F.col("_h.width") - F.col("_width")) <= SAME_WIDTH, F.col("_h.heads"))
+    out = words.join(pages.select("doc", "page", usable.alias("_lanes"), "_head_y"), ["doc", "page"])
+    left = F.filter("_lanes", lambda h: h["x"] <= F.col("x"))
+    out = out.where(F.coalesce(F.col("y") > F.col("_head_y"), F.lit(True)))
+    return out.withColumn("lane", F.try_element_at(left, F.lit(-1))["lane"]).drop("_lanes", "_head_y")
+
+
+def continued(words: DataFrame, reason: str, others: Sequence[str], reach: float = GOES_ON) -> DataFrame:
+    """Rows of a page's words with lanes: doc, page, y, a column for each lane. A row of the reason lane alone, within `reach` below
+    the row before, goes on with that row's reason."""
+    text = lambda lane: F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("lane") == lane, F.struct("x", "text")))), lambda w: w["text"]), " "), F.lit(""))
+    rows = words.groupBy("doc", "page", "y").agg(*(text(c).alias(c) for c in (*others, reason)))
+    w = W.partitionBy("doc", "page").orderBy("y")
+    alone = F.greatest(*(F.col(c).isNotNull() for c in others), F.lit(False)) == F.lit(False)
+    follows = alone & F.coalesce(F.col("y") - F.lag("y").over(w) <= reach, F.lit(False))
+    rows = rows.withColumn("_row", F.sum((~follows).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(reason).isNotNull(), F.struct("y", F.col(reason).alias("t"))))), lambda p: p["t"]), " ")
+    return rows.groupBy("doc", "page", "_row").agg(F.min("y").alias("y"), *(F.first(c, True).alias(c) for c in others), F.nullif(parts, F.lit("")).alias(reason)).drop("_row")

@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: Sequence[str], tie: str) -> DataFrame:
+def month(at: Column) -> Column:
+    """A stretch of time for the functions below: long enough to be few for a key, short enough for one task."""
+    return F.date_trunc("month", at)
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: Sequence[str], tie: str, stretch: Callable[[Column], Column] = month) -> DataFrame:
     """left with values of the latest right row of its key whose time isn't later; the greatest tie wins.
 
-    Both sides are laid in one order and the last right row is carried on, so a key's rows are sorted once and
-    never multiplied.
+    Both sides are laid in one order and the last right row is carried on, so a key's rows are never multiplied. They are
+    sorted by stretch of time; what a stretch leaves to the next is carried over one row a stretch, so a key with a third
+    of all rows is many tasks.
     """
     packed = F.struct(F.col(right_time).alias("t"), F.col(tie).alias("tie"), *(F.col(v) for v in values))
-    r = right.select(F.col(key), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(tie).cast("string").alias("_tie"), packed.alias("_value"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_row"))
-    n = left.select(F.col(key), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_tie"), F.lit(None).cast(r.schema["_value"].dataType).alias("_value"), F.struct(*left.columns).alias("_row"))
-    w = W.partitionBy(key).orderBy("_t", "_side", F.col("_value.tie")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return r.unionByName(n).withColumn("_last", F.last("_value", ignorenulls=True).over(w)).where("_side = 1").select("_row.*", *(F.col(f"_last.{v}").alias(v) for v in values))
+    r = right.select(F.col(key), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), packed.alias("_value"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_row"))
+    n = left.select(F.col(key), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(r.schema["_value"].dataType).alias("_value"), F.struct(*left.columns).alias("_row"))
+    both = r.unionByName(n).withColumn("_stretch", stretch(F.col("_t")))
+    ends = both.groupBy(key, "_stretch").agg(F.max_by("_value", F.when(F.col("_side") == 0, F.struct("_t", F.col("_value.tie")))).alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(W.partitionBy(key).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1))
+    carried_on = ends.select(F.col(key).alias("_k"), F.col("_stretch").alias("_s"), before.alias("_before"))
+    w = W.partitionBy(key, "_stretch").orderBy("_t", "_side", F.col("_value.tie")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    held = both.withColumn("_within", F.last("_value", ignorenulls=True).over(w)).where("_side = 1")
+    held = held.join(carried_on, F.col(key).eqNullSafe(F.col("_k")) & F.col("_stretch").eqNullSafe(F.col("_s")), "left").withColumn("_last", F.coalesce("_within", "_before"))
+    return held.select("_row.*", *(F.col(f"_last.{v}").alias(v) for v in values))
 
 
 def half_open(day: Column, start: Column, end: Column) -> Column:
@@ -40,11 +52,18 @@ def memberships(rows: DataFrame, key: str, member: str, day: str) -> DataFrame:
     return changed.select(key, member, F.col(day).alias("valid_from"), F.lead(day).over(w).alias("valid_to"))
 
 
-def active_counts(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Running number of active half-open intervals after each moment, by a sweep over their ends."""
+def active_counts(intervals: DataFrame, key: str, start: str, end: str, stretch: Callable[[Column], Column] = month) -> DataFrame:
+    """Running number of active half-open intervals after each moment, by a sweep over their ends.
+
+    Ends are summed up by moment, then by stretch of time: a stretch starts from the running sum of those before it, so no
+    task sorts all moments of a key.
+    """
     ends = intervals.select(key, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("step")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("step")))).alias("e"))
-    steps = ends.where("e.at is not null").groupBy(key, F.col("e.at").alias("moment")).agg(F.sum("e.step").alias("step"))
-    return steps.select(key, "moment", F.sum("step").over(W.partitionBy(key).orderBy("moment")).alias("active"))
+    steps = ends.where("e.at is not null").groupBy(key, F.col("e.at").alias("moment")).agg(F.sum("e.step").alias("step")).withColumn("_stretch", stretch(F.col("moment")))
+    whole = steps.groupBy(key, "_stretch").agg(F.sum("step").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(W.partitionBy(key).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    steps = steps.join(whole.select(key, "_stretch", before.alias("_before")), [key, "_stretch"])
+    return steps.select(key, "moment", (F.col("_before") + F.sum("step").over(W.partitionBy(key, "_stretch").orderBy("moment"))).alias("active"))
 
 
 def carried(rows: DataFrame, scope: str, order: str, fields: dict[str, Column], resets: dict[str, Sequence[str]]) -> DataFrame:
