@@ -163,16 +163,16 @@ def ledger_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with o as (select o_custkey as team, cast(o_orderdate as date) as day, epoch(o_orderdate)::bigint as t, o_orderkey from orders), p as (select team, day, t + (o_orderkey % 11) * 60 as t, o_orderkey from o where o_orderkey % 7 <> 0),
+    """with o as (select o_custkey as team, cast(o_orderdate as date) as day, epoch(o_orderdate)::bigint as t, o_orderkey, o_orderstatus from orders), p as (select team, day, t + (o_orderkey % 11) * 60 as t, o_orderkey from o where o_orderstatus <> 'P'),
  q as (select team, case when o_orderkey % 13 = 0 then cast(day + 1 as date) else day end as day, t from p),
  a as (select team, day, count(*) as n_official, min(t) as official_time from o group by 1, 2), b as (select team, day, count(*) as n_provider, min(t) as provider_time from q group by 1, 2)
  select team, day, n_official, official_time, n_provider, provider_time, case when n_provider is null then 'OFFICIAL_ONLY' when n_official is null then 'PROVIDER_ONLY' when n_official > 1 or n_provider > 1 then 'AMBIGUOUS'
    when abs(official_time - provider_time) <= 300 then 'MATCHED' else 'TIME_CONFLICT' end as status from a full outer join b using (team, day)"""
 )
 def provider_match_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders against a shifted copy that lacks some rows and misdates others."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("team"), F.to_date("o_orderdate").alias("day"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("t"), "o_orderkey")
-    p = o.where("o_orderkey % 7 <> 0").withColumn("t", F.expr("t + (o_orderkey % 11) * 60")).withColumn("day", F.expr("case when o_orderkey % 13 = 0 then date_add(day, 1) else day end"))
+    """Orders against a shifted copy that lacks the pending ones and misdates others."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("team"), F.to_date("o_orderdate").alias("day"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("t"), "o_orderkey", "o_orderstatus")
+    p = o.where("o_orderstatus <> 'P'").withColumn("t", F.expr("t + (o_orderkey % 11) * 60")).withColumn("day", F.expr("case when o_orderkey % 13 = 0 then date_add(day, 1) else day end"))
     return rc.match_status(o, p, ["team", "day"], "t")
 
 

@@ -141,7 +141,7 @@ def predictor_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with reg as (select 'player' as kind, p_partkey as id, 'P' || p_partkey as c from part where p_partkey % 9 <> 0 union all select 'player', p_partkey, 'Q' || p_partkey from part where p_partkey % 10 = 0 union all select 'team', s_suppkey, 'T' || s_suppkey from supplier where s_suppkey % 4 <> 1),
+    """with reg as (select 'player' as kind, p_partkey as id, 'P' || p_partkey as c from part where p_size > 5 union all select 'player', p_partkey, 'Q' || p_partkey from part where p_size = 20 union all select 'team', s_suppkey, 'T' || s_suppkey from supplier where s_acctbal > 0),
  ids as (select kind, id, count(distinct c) as n from reg group by 1, 2), f as (select l_partkey as p, l_suppkey as t, l_orderkey % 25 as o from lineitem),
  s as (select unnest(['player_id', 'team_id', 'opponent_team_id']) as field, unnest([a.n, b.n, c.n]) as n from f left join ids a on a.kind = 'player' and a.id = f.p left join ids b on b.kind = 'team' and b.id = f.t left join ids c on c.kind = 'team' and c.id = f.o)
  select field, case when n is null then 'UNRESOLVED' else 'AMBIGUOUS' end as status, count(*) as n from s where n is null or n > 1 group by 1, 2"""
@@ -150,7 +150,7 @@ def canonical_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What keeps box score rows from getting canonical ids of player, team and opponent."""
     part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
     entry = lambda rows, kind, key, letter: rows.select(F.lit(kind).alias("entity_type"), F.lit("feed").alias("source_name"), F.col(key).cast("string").alias("source_id"), F.concat(F.lit(letter), key).alias("canonical_id"))
-    registry = entry(part.where("p_partkey % 9 <> 0"), "player", "p_partkey", "P").unionByName(entry(part.where("p_partkey % 10 = 0"), "player", "p_partkey", "Q")).unionByName(entry(supplier.where("s_suppkey % 4 <> 1"), "team", "s_suppkey", "T"))
+    registry = entry(part.where("p_size > 5"), "player", "p_partkey", "P").unionByName(entry(part.where("p_size = 20"), "player", "p_partkey", "Q")).unionByName(entry(supplier.where("s_acctbal > 0"), "team", "s_suppkey", "T"))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("player_id"), F.col("l_suppkey").alias("team_id"), (F.col("l_orderkey") % 25).alias("opponent_team_id"))
     fields = {"player_id": "player", "team_id": "team", "opponent_team_id": "team"}
     return idn.build_faults(idn.by_source_id(rows, registry, fields, "feed"), fields)
@@ -164,7 +164,7 @@ def minted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """with m as (select page_id::varchar as artifact_id, case when page_id % 7 = 0 then 'UNVALIDATED' else 'PASS' end as validation_status, case when page_id % 5 = 0 then '' when page_id % 3 = 0 then upper(sha256(url)) else sha256(html) end as sha256 from pages),
- a as (select page_id::varchar as artifact_id, sha256(html) as actual from pages where page_id % 11 <> 1)
+ a as (select page_id::varchar as artifact_id, case when page_id % 11 <> 1 then sha256(html) end as actual from pages)
  select m.artifact_id, case when validation_status <> 'PASS' then 'PARENT_NOT_PASS' when sha256 = '' then 'PARENT_WITHOUT_SHA256' when actual is null then 'PARENT_MISSING' when lower(sha256) <> actual then 'PARENT_HASH_MISMATCH' else 'USABLE' end as status from m left join a using (artifact_id)"""
 )
 def parent_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +172,7 @@ def parent_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, pages = F.col("page_id"), table(spark, sf_dir, "pages")
     sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
     parents = pages.select(k.cast("string").alias("artifact_id"), F.when(k % 7 == 0, "UNVALIDATED").otherwise("PASS").alias("validation_status"), F.when(k % 5 == 0, "").when(k % 3 == 0, F.upper(sha("url"))).otherwise(sha("html")).alias("sha256"))
-    artifacts = pages.where(k % 11 != 1).select(k.cast("string").alias("artifact_id"), sha("html").alias("actual_sha256"))
+    artifacts = pages.select(k.cast("string").alias("artifact_id"), F.when(k % 11 != 1, sha("html")).alias("actual_sha256"))
     return pv.parent_status(parents, artifacts).select("artifact_id", "status")
 
 

@@ -210,13 +210,13 @@ _CANON = "lower(regexp_extract(regexp_replace(regexp_replace({0}, '[?#].*$', '')
 
 
 @query(
-    f"""with p as (select page_id as proposal, case page_id % 3 when 0 then replace(url, 'http://', 'HTTP://') else url || '/#x' end as url from pages where page_id % 2 = 0)
+    f"""with p as (select page_id as proposal, case page_id % 3 when 0 then replace(url, 'http://', 'HTTP://') else url || '/#x' end as url from pages where starts_with(url, 'http://'))
  select c.page_id, {_CANON.format('c.url')} as canonical, p.proposal from pages c left join p on {_CANON.format('c.url')} = {_CANON.format('p.url')}"""
 )
 def captured_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures with the proposals of the same address, however it is written."""
     pages, k = table(spark, sf_dir, "pages"), F.col("page_id")
-    proposals = pages.where(k % 2 == 0).select(k.alias("proposal"), F.when(k % 3 == 0, F.replace("url", F.lit("http://"), F.lit("HTTP://"))).otherwise(F.concat("url", F.lit("/#x"))).alias("url"))
+    proposals = pages.where(F.startswith("url", F.lit("http://"))).select(k.alias("proposal"), F.when(k % 3 == 0, F.replace("url", F.lit("http://"), F.lit("HTTP://"))).otherwise(F.concat("url", F.lit("/#x"))).alias("url"))
     return pk.captured_proposals(pages.select("page_id", "url"), proposals).select("page_id", canonical_url("url").alias("canonical"), "proposal")
 
 
