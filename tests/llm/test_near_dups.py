@@ -94,6 +94,10 @@ def test_odd_rows(spark):
     got = sorted((str(r.doc_id), r.component_id, r.kept) for r in near_duplicates(df).collect())
     assert got == [("1", 1, True), ("1", 1, True), ("2", 2, True), ("3", 1, False), ("None", None, True)]
     assert near_duplicates(df.limit(0)).count() == 0
+    # one doc_id with two texts is one node, linked through either
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    df = spark.createDataFrame([(1, a), (1, b), (5, a + " c"), (6, b + " c"), (7, "x y z")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(df).collect()} == {(1, 1), (5, 1), (6, 1), (7, 7)}
 
 
 def test_components_of_a_long_chain(spark):

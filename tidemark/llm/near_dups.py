@@ -14,8 +14,9 @@ many of them that two linked classes must meet in one (prefix rule, with the ran
 can still share). Lists of up to SHORT classes give their pairs. The classes of longer lists are taken up with their
 full sets, in the same way: rank by rarity among themselves, prefix, lists. There, each list first links its members
 to one of them for ROUNDS rounds; lists inside one component end. The classes that the rest connect are compared in
-full, those outside the largest component of their group with all of it. The one inexact step is the sketch of a union: a pair at the threshold falls below the least
-overlap it asks for with a chance of under CHANCE; sets of up to K shingles are compared exactly.
+full, those outside the largest component of their group with all of it. The one inexact step is the sketch of a
+union: a pair at the threshold falls below the least overlap it asks for with a chance of under CHANCE; sets of up to K
+shingles are compared exactly.
 
 At scale: counts are combined before the shuffle, joins with them read written tables that adaptive execution can
 split. A group is dealt out in blocks, so no task holds one whole. Texts and sketches that no pair names are screened
@@ -167,7 +168,7 @@ class _Linker:
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         keys = save(self.classes.select("node", "key").join(nodes, "node"), "named")
-        texts = screened(self.rows, keys, "key").join(keys.withColumnRenamed("node", "doc_id"), ["doc_id", "key"]).dropDuplicates(["doc_id"])
+        texts = screened(self.rows, keys, "key").join(keys.withColumnRenamed("node", "doc_id"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
         return save(texts.select(F.col("doc_id").alias("node"), "text").mapInArrow(_set_batches(self.size), "node long, members array<long>"), "sets")
 
     def add(self, pairs: DataFrame, sets: DataFrame | None = None) -> None:
