@@ -182,20 +182,24 @@ def refined(suffixes: DataFrame, length: int) -> DataFrame:
     A round puts a suffix into the bucket of (its bucket so far, the identifier of the q-gram one further on), for
     either side; buckets of one end that side, others are what the next round refines.
     """
-    now = suffixes.withColumns({"r": F.col("bucket"), "l": F.col("bucket"), "right": F.lit(0), "left": F.lit(0)})
+    now, before = suffixes.withColumns({"r": F.col("bucket"), "l": F.col("bucket"), "right": F.lit(0), "left": F.lit(0)}), []
     for k, (to_right, to_left) in enumerate(zip(RIGHT, LEFT, strict=True)):
         pointed = lambda side, of, to: F.when((F.col(side) == k) & F.col(to).isNotNull(), F.xxhash64(F.lit(side), of, to))  # noqa: E731, B023
         now = save(now.withColumns({"r": pointed("right", "r", to_right), "l": pointed("left", "l", to_left)}), "pointed")
+        release(*before)
         shared = now.select(F.explode(F.array("r", "l")).alias("id")).where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
         shared = save(shared.select("id"), "shared")
+        before = [now, shared]
         for of, side in (("r", "right"), ("l", "left")):
             joined = now.join(shared.withColumn("met", F.lit(True)), F.col(of) == F.col("id"), "left").drop("id")
             now = joined.withColumn(side, F.when(F.col("met"), k + 1).otherwise(F.col(side))).drop("met")
         hope = lambda side: F.when(F.col(side) == k + 1, ROUNDS).otherwise(F.col(side))  # noqa: E731, B023
         near, far = _reach(hope("right"), hope("left"), length)
-        now = save(now.where(near <= far), "round")
+        now = now.where(near <= far)
     near, far = _reach(F.col("right"), F.col("left"), length)
-    return now.select("bucket", *KEYS, "pos", near.alias("near"), far.alias("far"), "ask").where("near <= far")
+    out = save(now.select("bucket", *KEYS, "pos", near.alias("near"), far.alias("far"), "ask").where("near <= far"), "refined")
+    release(*before)
+    return out
 
 
 def repeated_substrings(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -217,19 +221,18 @@ def repeated_substrings(documents: DataFrame, length: int = LENGTH) -> DataFrame
     rest = [c for c in SUFFIX if c not in START]
     counted = save(mixed.groupBy("bucket", "class").agg(F.count("*").alias("n"), F.min(F.struct(*rest)).alias("one")), "counted")
     agreed = starts(mixed.select("bucket", "class", *KEYS, "pos", "near", "far").join(counted.where("n > 1").select("bucket", "class"), ["bucket", "class"]))
+    whole = save(alike.unionByName(agreed), "whole")
     # a class alone may match others in part; of a class of several one suffix stands for all
     asked = refined(counted.select("bucket", "one.*", (F.col("n") == 1).alias("ask")), length)
-    asked = save(asked.groupBy(*KEYS).agg(F.collect_list(F.struct("bucket", "pos", "near", "far", "ask")).alias("suffixes")), "asked")
-    spelled = screened(rows, asked, "key").join(asked, KEYS).mapInArrow(_string_batches(length), "bucket long, string long, ask boolean, key long, more int, start int")
-    spelled = save(spelled.withColumn("id", F.xxhash64("bucket", "string")), "strings")
-    # one identifier sorts out most strings; those it leaves are counted by both
-    maybe = save(spelled.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "maybe")
-    left = save(screened(spelled, maybe, "id").join(maybe, "id").drop("id"), "left")
-    again = save(left.groupBy("bucket", "string").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "string"), "again")
-    hits = left.where("ask").join(again, ["bucket", "string"]).select(*KEYS, (F.col("start").cast("long") * STARTS + 1).alias("mark"))
-
-    marks = save(alike.unionByName(agreed).unionByName(hits).groupBy(*KEYS).agg(F.collect_set("mark").alias("marks")), "marks")
-    release(buckets, suffixes, counted, asked, spelled, maybe, left, again)
+    grouped = save(asked.groupBy(*KEYS).agg(F.collect_list(F.struct("bucket", "pos", "near", "far", "ask")).alias("suffixes")), "asked")
+    release(buckets, suffixes, counted, asked)
+    spelled = screened(rows, grouped, "key").join(grouped, KEYS).mapInArrow(_string_batches(length), "bucket long, string long, ask boolean, key long, more int, start int")
+    spelled = save(spelled, "strings")
+    again = save(spelled.groupBy("bucket", "string").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "string"), "again")
+    hits = spelled.where("ask").join(again, ["bucket", "string"]).select(*KEYS, (F.col("start").cast("long") * STARTS + 1).alias("mark"))
+
+    marks = save(whole.unionByName(hits).groupBy(*KEYS).agg(F.collect_set("mark").alias("marks")), "marks")
+    release(whole, grouped, spelled, again)
     out = screened(rows, marks, "key").join(marks, KEYS).mapInArrow(_removal_batches(length), "key long, more int, n_removed long, kept_sha256 string, starts array<long>, ends array<long>")
     out = save(out.dropDuplicates(KEYS), "removed")
     release(marks)
