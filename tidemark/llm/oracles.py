@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import string
 
+from tidemark.llm import hard_negatives as mining
 from tidemark.llm import url_filter as urls
+from tidemark.llm import vector_codes as codes
 
 SQL: dict[str, str] = {}
 
@@ -94,3 +96,43 @@ with d as (select doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) as w f
  marked as (select doc_id, i, word, coalesce(max(hit) over (partition by doc_id order by i rows between 19 preceding and current row), 0) as gone from words left join again using (doc_id, i)),
  sums as (select doc_id, sum(gone)::bigint as n_removed, sha256(coalesce(string_agg(word, ' ' order by i) filter (where gone = 0), '')) as kept_sha256 from marked group by 1)
 select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0) as n_removed, coalesce(kept_sha256, sha256('')) as kept_sha256 from d left join sums using (doc_id)"""
+
+
+def _vector_codes() -> str:
+    """Lloyd's rounds with all distances, a round after the other."""
+    steps = []
+    for k in range(codes.ROUNDS + 1):
+        far = "list_sum(list_transform(range(1, len(x.x) + 1), lambda i: (x.x[i] - b.x[i]) * (x.x[i] - b.x[i])))::bigint"
+        steps.append(f"a{k} as materialized (select r, p, min(struct_pack(d := {far}, e := e)) as best, any_value(x.x) as x from x join b{k} b using (p) group by 1, 2)")
+        if k < codes.ROUNDS:
+            steps.append(
+                f"""m{k} as (select p, e, list(v order by i) as x from (
+   select p, best.e as e, i, ((sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*))::bigint as v from a{k}, unnest(range(1, len(x) + 1)) u(i) group by 1, 2, 3) group by 1, 2),
+ b{k + 1} as materialized (select p, e, coalesce(m{k}.x, b{k}.x) as x from b{k} left join m{k} using (p, e))"""
+            )
+    steps = ",\n ".join(steps)
+    return f"""
+with kept as materialized (select row_number() over (order by vec_id, embedding) as r, vec_id, label, list_transform(embedding, lambda x: floor({codes.SCALE} * x::double)::bigint) as v
+   from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+ size as (select (max(len(v)) + {codes.PARTS - 1}) // {codes.PARTS} as n from kept),
+ x as materialized (select r, p, v[p * n + 1 : p * n + n] as x from kept cross join size, unnest(range({codes.PARTS})) u(p)),
+ b0 as materialized (select p, r - 1 as e, x from x where r <= {codes.ENTRIES}),
+ {steps},
+ coded as (select r, string_agg(format('{{:02x}}', best.e), '' order by p) as code, sum(best.d)::bigint as error from a{codes.ROUNDS} group by 1),
+ whole as (select sha256(string_agg(array_to_string(x, ','), ',' order by p, e)) as codebooks_sha256 from b{codes.ROUNDS})
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from kept join coded using (r) cross join whole"""
+
+
+SQL["op11_vector_codes"] = _vector_codes()
+
+SQL["op13_hard_negatives"] = f"""
+with r as materialized (select row_number() over () as r, vec_id, case when vec_id % {mining.SHIFTED} = 0 then (label + 1) % {mining.LABELS} else label end as label,
+   list_transform(embedding, lambda x: floor({mining.SCALE} * x::double)::bigint) as v
+   from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+ s as materialized (select a.r as anchor, a.vec_id as anchor_id, b.r as other, b.vec_id, a.label = b.label as same, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::bigint as score
+   from r a join r b on a.vec_id % {mining.EVERY} = 0 and a.r <> b.r),
+ p as (select anchor, anchor_id, vec_id as positive_id, score as positive_score, nth from (
+   select *, row_number() over (partition by anchor order by score desc, vec_id) as nth from s where same) where nth <= {mining.K}),
+ n as (select p.*, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor, nth order by s.score desc, s.vec_id) as rank
+   from p join s on s.anchor = p.anchor and not same and {mining.LOW} * positive_score <= 100 * score and 100 * score <= 100 * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= {mining.K}"""

@@ -5,20 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import oracles
 from tidemark.llm.decontaminate import find_leaks
+from tidemark.llm.hard_negatives import mine_negatives, shifted_labels
 from tidemark.llm.language import identify, of_documents
 from tidemark.llm.mixing import mix_sources, quality_weights
 from tidemark.llm.nbsvm import score_quality
 from tidemark.llm.near_dups import near_duplicates
 from tidemark.llm.outliers import quality_outliers
+from tidemark.llm.packing import pack
 from tidemark.llm.pii import as_line, find_pii
 from tidemark.llm.reference_parse import reference_dedup
 from tidemark.llm.suffix_dedup import suffix_dedup
 from tidemark.llm.url_filter import filter_urls
+from tidemark.llm.vector_codes import compress, digest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,8 +77,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(of_documents(table(spark, sf_dir, "documents"))).select("doc_id", "language", "posterior", "kept")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books, _ = compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_negatives(shifted_labels(table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_decontaminate, op2_quality_outliers, op3_near_dups, op4_url_filter, op5_personal_data, op6_suffix_dedup, op7_mixing, op8_quality_classifier, op9_reference_dedup, op10_language)
+    ops = (op1_decontaminate, op2_quality_outliers, op3_near_dups, op4_url_filter, op5_personal_data, op6_suffix_dedup, op7_mixing, op8_quality_classifier, op9_reference_dedup, op10_language, op11_vector_codes, op12_packing, op13_hard_negatives)
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in ops}
 
 
