@@ -19,9 +19,12 @@ runs of words.
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,43 +33,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.vectortext import SPACE, pieces, words
+from tidemark.llm.vectortext import LOWER, SPACE, pieces, words
 from tidemark.llm.worktables import release, save
 
 WINDOW, END, SHARD = 2048, 1, 1024
 #: BM25's saturation and length share; tokens of a seed that are looked up
 K1, B, QUERY = 1.2, 0.75, 24
 #: words encoded at once, and words remembered
-RUN, KNOWN = 200_000, 1_000_000
+RUN, KNOWN = 400_000, 1_500_000
+#: signs that the tokenizer always parts from an ASCII letter before them
+CLOSING = np.zeros(256, bool)
+CLOSING[[ord(c) for c in ".,;:!?"]] = True
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def only_letters(word: str) -> bool:
+    """Whether a word is one run of letters once the tokenizer has composed and lowered it."""
+    return word.isalpha() if word.isascii() else unicodedata.normalize("NFC", word).lower().isalpha()
 
 
 class WordIds:
     """Token ids of words; a word's ids do not depend on its neighbours, so each is encoded once while remembered."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.size = self.tokenizer.get_vocab_size()
+        self.last = np.zeros(self.size, bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def encode(self, new: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in another order, all their ids, and how many each has.
+
+        Runs of letters are encoded as one text, where a last token tells each word's end.
+        """
+        plain, odd = [w for w in new if only_letters(w)], [w for w in new if not only_letters(w)]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(plain):  # letters that the tokenizer takes for something else
+            plain, odd, ids, ends = [], new, ids[:0], ends[:0]
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+        counts = np.concatenate([np.diff(ends, prepend=0), np.array([len(e) for e in made], np.int64)])
+        return plain + odd, np.concatenate([ids, np.fromiter(chain.from_iterable(made), np.uint32)]), counts
+
     def of(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words, and how many each word has."""
         if len(self.known) > KNOWN:
             self.forget()
         coded = strings.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        new = [w for w in names if w not in self.known]
-        if new:
-            made = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        if new := [w for w in names if w not in self.known]:
+            new, ids, counts = self.encode(new)
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.ids = np.concatenate([self.ids, *(np.array(e, np.uint32) for e in made)])
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(e) for e in made])])
-        slot = np.array([self.known[w] for w in names], np.int64)[coded.indices.to_numpy()]
-        counts = (self.bounds[1:] - self.bounds[:-1])[slot]
-        return self.ids[spread(self.bounds[slot], counts)], counts
+            self.ids = np.concatenate([self.ids, ids])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(counts)])
+        slot = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        at = coded.indices.to_numpy()
+        counts = (self.bounds[slot + 1] - self.bounds[slot])[at]
+        return self.ids[spread(self.bounds[slot][at], counts)], counts
 
 
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -82,8 +115,13 @@ def word_ids(path: str) -> WordIds:
 def encoded(coder: WordIds, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the rows of a piece, each with the end id, and the bounds of the rows."""
     starts, ends, row = words(data, offsets)
+    cut = np.flatnonzero(CLOSING[data[ends - 1]] & (ends - starts > 1) & LETTER[data[np.maximum(ends - 2, 0)]])  # a closing sign is a word of its own
+    where = cut + np.arange(1, len(cut) + 1)
+    starts, row = np.insert(starts, cut + 1, ends[cut] - 1), np.insert(row, cut + 1, row[cut])
+    ends = np.insert(ends, cut + 1, ends[cut])
+    ends[where - 1] -= 1
     held = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-    letters = data[~SPACE[data]]
+    letters = LOWER[data[~SPACE[data]]]
     ids, sizes = [], np.zeros(len(offsets) - 1, np.int64)
     for i in range(0, len(starts), RUN):
         j = min(i + RUN, len(starts))
@@ -125,7 +163,7 @@ def _encode(path: str, vocabulary: int, window: int, end: int):
         types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
         schema = pa.schema(list(zip(("doc_id", "doc_tokens", "fulls", "rest", "counts"), types, strict=True)))
         for batch in batches:
-            for i, j, data, offsets in pieces(batch.column("text"), 1 << 22):
+            for i, j, data, offsets in pieces(batch.column("text"), 1 << 23):
                 ids, bounds = encoded(coder, data, offsets, end)
                 sizes = np.diff(bounds)
                 total[:2] += j - i, len(ids)
@@ -290,7 +328,7 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end: int =
     in it.
     """
     spark = documents.sparkSession
-    vocabulary = word_ids(tokenizer).tokenizer.get_vocab_size()
+    vocabulary = word_ids(tokenizer).size
     coded = save(documents.select("doc_id", "text").mapInArrow(_encode(tokenizer, vocabulary, window, end), _TOKENS), "packing_tokens")
     sums = coded.where("counts is not null").select("counts").mapInArrow(_sum_counts, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
     counts = np.zeros(2 + vocabulary, np.int64)
