@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import courts, evidence, forecasting, pregame, records, reports, review  # noqa: F401  (importing them registers their queries)
+from tidemark.plans import courts, evidence, forecasting, pages, pregame, records, reports, review  # noqa: F401  (importing them registers their queries)
 from tidemark.plans.registry import QUERIES, SQL
 
 

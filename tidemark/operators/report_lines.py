@@ -27,17 +27,22 @@ WITHIN = 0.015
 SEVERITY = {"TEAM_MATCHUP_MISMATCH": 100, "STATUS_DISAGREEMENT": 95, "DUPLICATE_PLAYER_PAGE": 90, "MISSING_TEAM_OR_MATCHUP": 80, "MISSING_GAME_DATE": 70, "MISSING_REASON": 60, "INFERRED_DATE": 40, "INHERITED_LAYOUT": 20}
 
 
-def _found(c: Column, pattern: str, group: int = 0) -> Column:
+def found(c: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
+def teams_named(c: Column) -> Column:
+    """The different teams that a text names, in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(?<!\w)({'|'.join(REPORT_NAMES)})(?!\w)"), 1))
+
+
 def told(lines: DataFrame, text: str = "text") -> DataFrame:
     """lines with what each says itself: said_date, said_matchup, said_team (only if it names one team) and status."""
     c = F.trim(F.col(text))
-    day = F.regexp_replace(_found(c, r"\b(\d{2}/\d{2}/\d{4})\b", 1), r"^(\d{2})/(\d{2})/(\d{4})$", "$3-$1-$2")
-    teams = F.filter(F.array(*map(F.lit, REPORT_NAMES)), lambda t: F.regexp_like(c, F.concat(F.lit(r"(?<!\w)"), t, F.lit(r"(?!\w)"))))
-    said = {"said_date": day, "said_matchup": _found(c, r"\b[A-Z]{2,3}@[A-Z]{2,3}\b"), "said_team": F.when(F.size(teams) == 1, teams[0])}
-    return lines.withColumns({**said, "status": F.upper(_found(c, rf"(?i)\b({STATUS})\b", 1))})
+    day = F.regexp_replace(found(c, r"\b(\d{2}/\d{2}/\d{4})\b", 1), r"^(\d{2})/(\d{2})/(\d{4})$", "$3-$1-$2")
+    teams = teams_named(c)
+    said = {"said_date": day, "said_matchup": found(c, r"\b[A-Z]{2,3}@[A-Z]{2,3}\b"), "said_team": F.when(F.size(teams) == 1, teams[0])}
+    return lines.withColumns({**said, "status": F.upper(found(c, rf"(?i)\b({STATUS})\b", 1))})
 
 
 def parsed(lines: DataFrame, scope: Sequence[str] = ("doc", "page"), text: str = "text") -> DataFrame:
