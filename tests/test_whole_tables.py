@@ -9,8 +9,8 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_row_takes_part(spark):
     part = spark.read.parquet(f"{SF}/part.parquet")
-    assert catalog.queries()["candidate_entries_whole"](spark, SF).select("candidate").distinct().count() == part.count()
-    seen = catalog.queries()["one_to_one_integrity_whole"](spark, SF).collect()
+    assert catalog.queries()["candidate_entries"](spark, SF).select("candidate").distinct().count() == part.count()
+    seen = catalog.queries()["one_to_one_integrity"](spark, SF).collect()
     orders, lines = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("orders", "lineitem"))
     keys = orders.select("o_orderkey").union(lines.select("l_orderkey")).distinct().count()
     assert sum(r.n for r in seen) == keys and "DUPLICATE" in {r.status for r in seen}

@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KEYS = ("entity_id", "event_date")
+#: sums of a day are whole units of 1e-15, so that they don't depend on the order of its games
+EXACT = "decimal(38,15)"
 MEASURES = ("minutes", "points", "extras")
 SPANS = (3, 5, 10)
 ROLE_STEP = 6.0
@@ -24,8 +26,12 @@ def present(c: str) -> Column:
 
 
 def day_grain(games: DataFrame, measures: tuple[str, ...] = MEASURES) -> DataFrame:
-    """A row for each entity and day: games and the mean of each measure."""
-    return games.groupBy(*KEYS).agg(F.count("*").alias("games"), *(F.avg(present(m)).alias(m) for m in measures))
+    """A row for each entity and day: games and the mean of each measure, whatever the order of the games.
+
+    Infinite values, and those of 1e23 and more, count as missing.
+    """
+    exact = {m: present(m).try_cast(EXACT) for m in measures}
+    return games.groupBy(*KEYS).agg(F.count("*").alias("games"), *(F.try_divide(F.sum(x).cast("double"), F.count(x)).alias(m) for m, x in exact.items()))
 
 
 def _days() -> W:

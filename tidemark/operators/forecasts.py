@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import written
+
 CANDIDATES = ("prior_value", "mean_3", "mean_5", "mean_10", "season_mean", "ewm_5")
 LEAST_ERRORS = 100
 DEFAULT = "mean_5"
@@ -89,7 +91,7 @@ def conformal(rows: DataFrame, *by: str, alpha: float = ALPHA) -> DataFrame:
     keys = [*by, "all"]
     bin_, part = F.floor(F.col("error") * BINS), F.floor(F.col("error") * BINS * BINS * BINS)
     counts = rows.select(*by, F.lit(0).alias("all"), "event_date", F.unix_date(F.to_date("event_date")).alias("day"), "error")
-    counts = counts.groupBy(*keys, "event_date", "day", "error").agg(F.count("*").alias("c")).withColumns({"bin": bin_, "part": part})
+    counts = written(counts.groupBy(*keys, "event_date", "day", "error").agg(F.count("*").alias("c")).withColumns({"bin": bin_, "part": part}), "errors")
     daily = counts.groupBy(*keys, "event_date", "day").agg(F.sum("c").alias("c"))
     n = F.sum("c").over(W.partitionBy(*keys).orderBy("day").rangeBetween(W.unboundedPreceding, -1))
     wanted = daily.select(*keys, "event_date", "day", n.alias("n")).where("n > 0")
@@ -166,8 +168,8 @@ def interval_summary(rows: DataFrame, dimensions: tuple[str, ...], always: tuple
 def season_phase(rows: DataFrame, day: str = "event_date") -> DataFrame:
     """rows with the third of the span of all days that theirs falls in; a third holds its last day."""
     span = rows.agg(F.min(day).alias("_first"), F.greatest(F.datediff(F.max(day), F.min(day)), F.lit(1)).alias("_days"))
-    share = F.datediff(day, "_first") / F.col("_days")
-    phase = F.when(share <= F.lit(1.0) / 3, "early").when(share <= F.lit(2.0) / 3, "middle").otherwise("late")
+    into = F.datediff(day, "_first") * 3
+    phase = F.when(into <= F.col("_days"), "early").when(into <= F.col("_days") * 2, "middle").otherwise("late")
     return rows.join(F.broadcast(span)).withColumn("phase", phase).drop("_first", "_days")  # span is one row
 
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.day_features import feature_frame
 
 OUTCOMES = ("minutes", "points", "extras")
+GAME = ("game_id", "entity_id", "event_date")
+#: relative rounding error that sums of doubles may leave
+NOISE = 1e-9
 
 
 def mutated(games: DataFrame, where: Column) -> DataFrame:
@@ -18,10 +22,27 @@ def mutated(games: DataFrame, where: Column) -> DataFrame:
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: how many rows only one of two feature frames has, outcomes aside and numbers to 9 digits."""
-    plain = lambda df: df.select(*(F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.drop(*OUTCOMES).dtypes))
-    a, b = plain(a), plain(b)
-    return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("failures"))
+    """One row: how many rows of two feature frames aren't the same, outcomes aside.
+
+    Rows meet by game, entity and day, copies in the order of their features; numbers may differ by NOISE, relative
+    above 1. A row without a partner counts.
+    """
+    a, b = a.drop(*OUTCOMES), b.drop(*OUTCOMES)
+    rest = [c for c in a.columns if c not in GAME]
+    nth = F.row_number().over(W.partitionBy(*GAME).orderBy(*(F.col(c) for c in rest)))
+    side = lambda df: df.select(*GAME, nth.alias("_nth"), F.struct(*rest).alias("_row"))
+    both = side(a).withColumnRenamed("_row", "_a").join(side(b).withColumnRenamed("_row", "_b"), [*GAME, "_nth"], "full_outer")
+
+    def same(c: str, kind: str) -> Column:
+        x, y = F.col(f"_a.{c}"), F.col(f"_b.{c}")
+        near = F.coalesce(F.abs(x - y) <= NOISE * F.greatest(F.lit(1.0), F.abs(x)), F.lit(False)) if kind == "double" else F.lit(False)
+        return x.eqNullSafe(y) | near
+
+    wrong = F.col("_a").isNull() | F.col("_b").isNull()
+    for c, kind in a.dtypes:
+        if c in rest:
+            wrong = wrong | ~same(c, kind)
+    return both.agg(F.count_if(wrong).alias("failures"))
 
 
 def suite(games: DataFrame, day: str, build: Callable[[DataFrame], DataFrame] = feature_frame) -> DataFrame:

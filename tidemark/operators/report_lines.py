@@ -130,17 +130,22 @@ def verified(rows: DataFrame, events: DataFrame) -> DataFrame:
     latest = days.withColumn("record_id", F.lit(None).cast("string")).unionByName(at).withColumn("_latest", F.last("value", ignorenulls=True).over(w))
     out = rows.join(copies, ["doc", "page", "player", "status"], "left").join(latest.where("record_id is not null").select("record_id", "_latest"), "record_id")
     cell = lambda y: F.floor(y / WITHIN)
-    checks = []
-    for c, kind in (("game_date", "DATE"), ("matchup", "MATCHUP"), ("team", "TEAM")):
-        label, prov = kind, f"{c}_provenance"
+    kinds = {"game_date": "DATE", "matchup": "MATCHUP", "team": "TEAM"}
+    for c in kinds:
+        prov = f"{c}_provenance"
         out = out.withColumns({f"_p_{c}": F.regexp_extract(prov, PROVENANCE, 1).try_cast("int"), f"_y_{c}": F.regexp_extract(prov, PROVENANCE, 2).try_cast("double")})
-        asked = out.where(F.col(f"_p_{c}").isNotNull()).select("record_id", "doc", F.col(f"_p_{c}").alias("page"), F.col(f"_y_{c}").alias("_y"), F.col(c).alias("value"), F.explode(F.array(*(cell(F.col(f"_y_{c}")) + k for k in (-1, 0, 1)))).alias("_cell"))
-        there = events.where(F.col("type") == kind).select("doc", "page", F.col("y").alias("_e"), "value", cell(F.col("y")).alias("_cell"))
-        hit = asked.join(there, ["doc", "page", "value", "_cell"]).where(F.abs(F.col("_e") - F.col("_y")) < WITHIN).select("record_id").distinct().withColumn(f"_hit_{c}", F.lit(True))
-        out = out.join(hit, "record_id", "left")
+    named = F.array(*(F.struct(F.lit(kind).alias("type"), F.col(f"_p_{c}").alias("page"), F.col(f"_y_{c}").alias("y"), F.col(c).alias("value")) for c, kind in kinds.items()))
+    asked = out.select("record_id", "doc", F.explode(named).alias("a")).where("a.page is not null").select("record_id", "doc", "a.type", "a.page", "a.value", F.col("a.y").alias("_y"))
+    asked = asked.withColumn("_cell", F.explode(F.array(*(cell(F.col("_y")) + k for k in (-1, 0, 1)))))
+    there = events.select("doc", "page", "type", F.col("y").alias("_e"), "value", cell(F.col("y")).alias("_cell"))
+    hits = asked.join(there, ["doc", "type", "page", "value", "_cell"]).where(F.abs(F.col("_e") - F.col("_y")) < WITHIN)
+    out = out.join(hits.groupBy("record_id").agg(F.collect_set("type").alias("_hits")), "record_id", "left")
+    checks = []
+    for c, kind in kinds.items():
         given = F.col(f"_p_{c}").isNotNull()
+        hit = F.coalesce(F.array_contains("_hits", kind), F.lit(False))
         future = given & (F.struct(F.col(f"_p_{c}").alias("page"), F.col(f"_y_{c}").alias("y")) > F.struct(F.col("page").cast("int").alias("page"), F.col("y").cast("double").alias("y")))
-        checks += [(~given, f"{label}_PROVENANCE_INVALID"), (future, f"{label}_PROVENANCE_IN_FUTURE"), (given & F.col(f"_hit_{c}").isNull(), f"{label}_PROVENANCE_EVENT_MISMATCH")]
+        checks += [(~given, f"{kind}_PROVENANCE_INVALID"), (future, f"{kind}_PROVENANCE_IN_FUTURE"), (given & ~hit, f"{kind}_PROVENANCE_EVENT_MISMATCH")]
     shape = F.coalesce(F.trim("matchup").rlike("^[A-Z]{3}@[A-Z]{3}$"), F.lit(False))
     issues = all_reasons(
         (~shape, "MATCHUP_MISSING_OR_INVALID"),

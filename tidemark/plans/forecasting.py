@@ -10,6 +10,7 @@ from tidemark.operators import day_features as days
 from tidemark.operators import forecasts as fc
 from tidemark.plans.registry import query, rounded
 from tidemark.sources.bindings import ENTITY_GAMES, entity_games
+from tidemark.sources.shared import written
 
 WARM_UP = 7
 LEAST_PRIOR = 5
@@ -116,7 +117,8 @@ _BASE = f"{_LONG}, base as (select * from long where candidate = 'ewm_5')"
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(spark, sf_dir).where("candidate = 'ewm_5'")
+    """The forecasts that intervals are made for, computed once for all that reads them."""
+    return written(_long(spark, sf_dir).where("candidate = 'ewm_5'"), "base")
 
 
 @query(f"with recursive {_BASE} select event_date, n, round(width, 6) as width from {_widths('')}")
@@ -142,7 +144,7 @@ def conformal_shrinkage(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INTERVALS = f"""{_SHRUNK}, ranged as (
  select b.*, greatest(0, estimate - width) as lower, least(60, estimate + width) as upper from base b join shrunk using (role_change, event_date)),
  covered as (select *, case when actual between lower and upper then 1 else 0 end as covered,
-   case when prior_games <= 9 then '5-9' when prior_games <= 19 then '10-19' else '20+' end as history, month(event_date)::int as month from ranged),
+   case when prior_games <= 9 then '5-9' when prior_games <= 19 then '10-19' else '20+' end as history, strftime(event_date, '%Y-%m') as month from ranged),
  summary as (select role_change, history, month, count(*) as n, count(distinct event_date) as dates, avg(covered) as coverage, avg(upper - lower) as mean_width, avg(error) as mae, avg(case when error > 5 then 1.0 else 0.0 end) as over_5, avg(case when error > 10 then 1.0 else 0.0 end) as over_10, avg(case when error > 15 then 1.0 else 0.0 end) as over_15
    from covered group by grouping sets ((role_change), (history), (month), ()))"""
 
@@ -150,7 +152,7 @@ _INTERVALS = f"""{_SHRUNK}, ranged as (
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _base(spark, sf_dir)
     rows = fc.intervals(base, fc.shrunk(base).drop("n"), "role_change")
-    return fc.interval_summary(rows.withColumn("history", fc.history_group()).withColumn("month", F.month("event_date")), ("role_change", "history", "month"))
+    return fc.interval_summary(rows.withColumn("history", fc.history_group()).withColumn("month", F.date_format("event_date", "yyyy-MM")), ("role_change", "history", "month"))
 
 
 _ROUNDED = ("coverage", "mean_width", "mae", "over_5", "over_10", "over_15")
@@ -250,9 +252,9 @@ _METHODS = f"""{_CASCADE}, pooled as {_widths('')}, own as {_widths('role_change
  widths as (select event_date, role_change, 'pooled' as method, p.width from (select distinct event_date, role_change from celled) join pooled p using (event_date)
    union all select event_date, role_change, 'role_specific', own.width from own
    union all select event_date, role_change, 'role_shrunk', own.n / (own.n + 250.0::double) * own.width + (1 - own.n / (own.n + 250.0::double)) * p.width from own join pooled p using (event_date)),
- span as (select min(event_date) as a, greatest(max(event_date) - min(event_date), 1) as days from celled),
+ span as (select min(event_date) as a, greatest(max(event_date) - min(event_date), 1) as days from celled join widths using (event_date, role_change)),
  methods as (select c.*, w.method, greatest(0, estimate - w.width) as lower, least(60, estimate + w.width) as upper, case when actual between greatest(0, estimate - w.width) and least(60, estimate + w.width) then 1 else 0 end as covered,
-   month(event_date)::int as month, case when (event_date - a) / days::double <= 1.0::double / 3 then 'early' when (event_date - a) / days::double <= 2.0::double / 3 then 'middle' else 'late' end as phase
+   strftime(event_date, '%Y-%m') as month, case when 3 * (event_date - a) <= days then 'early' when 3 * (event_date - a) <= 2 * days then 'middle' else 'late' end as phase
    from celled c join widths w using (event_date, role_change) cross join span)"""
 _DIMENSIONS = ("role_change", "history", "volatility", "month", "phase")
 
@@ -266,7 +268,7 @@ def _methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = roles.join(pooled, "event_date").join(own, ["event_date", "role_change"], "left")
     named = [("pooled", F.col("pooled")), ("role_specific", F.col("own")), ("role_shrunk", weight * F.col("own") + (1 - weight) * F.col("pooled"))]
     widths = each.select("event_date", "role_change", F.explode(F.array(*(F.struct(F.lit(m).alias("method"), w.alias("width")) for m, w in named))).alias("_w")).select("event_date", "role_change", "_w.*").where("width is not null")
-    return fc.season_phase(fc.intervals(rows, widths, "role_change").withColumn("month", F.month("event_date")))
+    return fc.season_phase(fc.intervals(rows, widths, "role_change").withColumn("month", F.date_format("event_date", "yyyy-MM")))
 
 
 @query(

@@ -12,6 +12,7 @@ from tidemark.operators import report_lines as rl
 from tidemark.plans.registry import query
 from tidemark.sources import feeds
 from tidemark.sources.bindings import REPORT_LINES, report_lines, table
+from tidemark.sources.shared import written
 
 _NAME = rl.NAME.replace("'", "''")
 _TEAM_LIST = "[" + ", ".join(f"'{t}'" for t in rl.REPORT_NAMES) + "]"
@@ -106,7 +107,7 @@ def section_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def record_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structural issues and risk of records, some with provenance or teams that are wrong."""
     lines = report_lines(spark, sf_dir)
-    rows = rl.parsed(lines, ("doc",)).withColumn("y", F.col("line").cast("double"))
+    rows = written(rl.parsed(lines, ("doc",)).withColumn("y", F.col("line").cast("double")), "records")
     n = F.col("line")
     moved = F.concat(F.regexp_extract("matchup_provenance", r"^(EXPLICIT:p\d+:y)", 1), F.regexp_extract("matchup_provenance", r":y(\d+)$", 1).try_cast("int") + 1)
     rows = rows.withColumns(
@@ -116,7 +117,7 @@ def record_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
             "team": F.when(n % 6 == 0, "Moon Cats").otherwise(F.col("team")),
         }
     )
-    return rl.verified(rows, _events(lines)).select("record_id", "issues", "risk")
+    return rl.verified(rows, written(_events(lines), "events")).select("record_id", "issues", "risk")
 
 
 @query(
@@ -276,7 +277,7 @@ def pdf_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version and creation time out of a PDF's bytes."""
     k = F.col("doc_id")
     created = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("/CreationDate (D:2024"), F.lpad((1 + k % 12).cast("string"), 2, "0"), F.lit("05101500-05'00')")))
-    body = F.concat(F.when(k % 4 == 0, "<html>").otherwise("%PDF-1."), k % 8, F.lit("\n"), F.substring("text", 1, 200), created).cast("binary")
+    body = F.concat(F.when(k % 4 == 0, "<html>").otherwise("%PDF-1."), k % 8, F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n"), created).cast("binary")
     return table(spark, sf_dir, "documents").select("doc_id", body.alias("content")).select("doc_id", *feeds.pdf_facts("content"))
 
 
