@@ -1,10 +1,15 @@
 """Near duplicates against brute force over all pairs."""
 
+import itertools
 import random
 import re
+from collections import Counter, defaultdict
+
+import numpy as np
+from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.near_dups import near_duplicates
+from tidemark.llm.near_dups import near_duplicates, ranked, reaching
 
 
 def shingles(text):
@@ -104,3 +109,44 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 5), (5, 7), (9, 9)]
     got = {(r.u, r.root) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(i, 100) for i in range(100, 161)} | {(5, 5), (7, 5)}
+
+
+def test_one_template_in_many_classes(spark):
+    """2,000 pages of one template, each pair under the threshold but for planted ones: found exactly, and the rest never meet."""
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(104)]
+    own = lambda n: [f"o{r.randrange(10**12)}" for _ in range(n)]
+    docs = [passage[: r.randint(100, 104)] + own(r.randint(26, 34)) for _ in range(1960)]
+    for k in range(0, 400, 10):
+        words = list(docs[k])
+        words[r.randrange(104, len(words))] = "changed"
+        docs.append(words)
+    rows = list(enumerate(" ".join(d) for d in docs))
+    sets = [shingles(t) for _, t in rows]
+    names = {g: i for i, g in enumerate(sorted(shingles(" ".join(passage))))}
+    common = np.zeros((len(rows), len(names)), np.float32)
+    holders, shared = defaultdict(list), Counter()
+    for d, s in enumerate(sets):
+        for g in s:
+            if g in names:
+                common[d, names[g]] = 1
+            else:
+                holders[g].append(d)
+    for h in holders.values():
+        shared.update(itertools.combinations(h, 2))
+    overlap = (common @ common.T).astype(int)
+    for (a, b), n in shared.items():
+        overlap[a, b] += n
+    sizes = np.array([len(s) for s in sets])
+    links = np.argwhere(np.triu(100 * overlap >= 75 * (sizes[:, None] + sizes - overlap), 1)).tolist()
+    assert 40 <= len(links) < 200
+    root = list(range(len(rows)))
+    for a, b in links:
+        old, new = sorted((root[a], root[b]), reverse=True)
+        root = [new if x == old else x for x in root]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert [got[d] for d in range(len(rows))] == root
+    sized = spark.createDataFrame([(v, d, len(s)) for d, s in enumerate(sets) for v in [hash(g) for g in s]], "value long, node long, n int").withColumn("s", F.col("n"))
+    entries = ranked(sized, 100 * (F.col("n") - F.col("rank")) >= 75 * F.col("n"))
+    met = {x.node for x in reaching(entries, 75).collect()}
+    assert {x for link in links for x in link} <= met and len(met) < 300

@@ -12,9 +12,11 @@ and kept. Columns of the input other than doc_id and text are ignored.
 No list is cut. Each class sorts the values of its sketch from rare to frequent and enters the lists of only so
 many of them that two linked classes must meet in one (prefix rule, with the rank of the value bounding what a pair
 can still share). Lists of up to SHORT classes give their pairs. The classes of longer lists are taken up with their
-full sets, in the same way: rank by rarity among themselves, prefix, lists. There, each list first links its members
-to one of them for ROUNDS rounds; lists inside one component end. The classes that the rest connect are compared in
-full, those outside the largest component of their group with all of it. The one inexact step is the sketch of a
+full sets, in the same way: rank by rarity among themselves, prefix, lists. A class leaves a list in which none can
+reach the threshold with it: two that first meet there share at most what either has from that rank on. So documents
+that only share a template never meet. Then each list first links its members to one of them for ROUNDS rounds; lists
+inside one component end. The classes that the rest connect are compared in full, those outside the largest component
+of their group with all of it. The one inexact step is the sketch of a
 union: a pair at the threshold falls below the least overlap it asks for with a chance of under CHANCE; sets of up to K
 shingles are compared exactly.
 
@@ -26,7 +28,7 @@ out by a bitmap of fixed size before they would be shuffled. A text is known by
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pandas as pd
@@ -49,6 +51,8 @@ TRIED = 8
 #: members of a block when what is left of a group is compared in full
 BLOCK = 512
 CHANCE = 1e-11
+#: ratio of set sizes that are judged together
+STEP = 1.02
 
 
 def least_overlap(percent: int, k: int = K) -> int:
@@ -159,6 +163,24 @@ def ranked(each: DataFrame, keep: Column) -> DataFrame:
     return out.where(keep)
 
 
+def reaching(entries: DataFrame, percent: int) -> DataFrame:
+    """The entries(value, node, n, rank) that some other entry of their list can reach the threshold with.
+
+    Two sets whose first common value has ranks i and j share at most min(n - i, m - j) values, and need
+    percent / (100 + percent) of n + m. Sizes are put in steps of STEP, so that lists are judged by their steps' counts,
+    least sizes and largest rests: none that can link is lost.
+    """
+    step = F.floor(F.log("n") / log(STEP)).cast("int")
+    entries = entries.withColumn("_q", step)
+    steps = save(entries.groupBy("value", "_q").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max(F.col("n") - F.col("rank")).alias("rest")), "steps")
+    reach = ceil(log(100 / percent) / log(STEP)) + 1
+    large = steps.select("value", F.col("_q").alias("big"), F.col("c").alias("big_c"), F.col("low").alias("big_low"), F.col("rest").alias("big_rest"), F.explode(F.sequence(F.col("_q") - reach, F.col("_q"))).alias("_q"))
+    both = large.join(steps, ["value", "_q"]).where((F.col("_q") != F.col("big")) | (F.col("c") > 1))
+    both = both.where((100 + percent) * F.least("rest", "big_rest") >= percent * (F.col("low") + F.col("big_low")))
+    keep = save(both.select("value", F.explode(F.array("_q", "big")).alias("_q")).distinct(), "reaching")
+    return entries.join(keep, ["value", "_q"]).drop("_q")
+
+
 class _Linker:
     """Confirms pairs against the full sets of the classes they name."""
 
@@ -196,6 +218,7 @@ class _Linker:
         entries = save(ranked(each, 100 * (F.col("n") - F.col("rank")) >= p * F.col("n")), "entries")
         met = save(entries.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value"), "met")
         entries = save(entries.join(met, "value").select("value", "node", "n", "rank", "size"), "entries")
+        entries = save(reaching(entries, p), "entries")
         tried = entries.where(F.col("rank") > F.floor(F.col("n") * (100 - p) / 100) - TRIED)
         for turn in range(ROUNDS):
             open_ = self.open_lists(tried)
