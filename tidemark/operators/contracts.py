@@ -72,3 +72,57 @@ def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
 def conflicts(df: DataFrame, key: str, value: str) -> DataFrame:
     """Keys with more than one distinct value."""
     return df.groupBy(key).agg(F.count_distinct(value).alias("n_values"), F.array_join(F.array_sort(F.collect_set(F.col(value).cast("string"))), "|").alias("values")).where("n_values > 1")
+
+
+@dataclass(frozen=True)
+class Typed(Rule):
+    """A rule with the declared type of a column that may come as text: string, bigint, double, boolean, date or timestamp."""
+
+    kind: str = "string"
+
+    def value(self, df: DataFrame) -> Column:
+        """The column as its type; null where it has none."""
+        c = F.col(self.column)
+        if df.schema[self.column].dataType.simpleString() != "string" or self.kind == "string":
+            return c.try_cast(self.kind)
+        return F.trim(c).try_cast(self.kind)
+
+    def found(self, df: DataFrame) -> list[Column]:
+        """Codes in order; what isn't of the type is not judged further."""
+        raw, value = F.col(self.column), self.value(df)
+        numeric = self.kind in ("bigint", "double")
+        blank = raw.isNull() | (F.isnan(raw) if df.schema[self.column].dataType.simpleString() in ("double", "float") else F.lit(False))
+        of_kind = ~blank & value.isNotNull()
+        codes = [] if self.nullable else [F.when(blank, "NULL_NOT_ALLOWED")]
+        codes.append(F.when(~blank & value.isNull(), "TYPE_MISMATCH"))
+        if self.allowed is not None:
+            codes.append(F.when(of_kind & ~value.cast("string").isin(*self.allowed), "VALUE_NOT_ALLOWED"))
+        if numeric and self.least is not None:
+            codes.append(F.when(of_kind & (value < self.least), "VALUE_BELOW_MINIMUM"))
+        if numeric and self.most is not None:
+            codes.append(F.when(of_kind & (value > self.most), "VALUE_ABOVE_MAXIMUM"))
+        return codes
+
+
+def checked(df: DataFrame, rules: Sequence[Typed], key: Sequence[str] = (), order: Sequence[str] = (), extras: bool = False) -> DataFrame:
+    """df with issues (code, column) and validation_status, PASS or QUARANTINED; no row is dropped.
+
+    Every row names the columns that the table lacks and, unless extras are allowed, those the contract doesn't know. A
+    row whose whole key is given and was seen before, in `order`, is a DUPLICATE_PRIMARY_KEY.
+    """
+    issue = lambda code, column: F.when(code.isNotNull(), F.struct(code.alias("code"), F.lit(column).alias("column")))
+    codes = [issue(F.lit(code), c) for c, code in missing_columns(df, rules) if code == "MISSING_COLUMN" or not extras]
+    codes += [issue(code, r.column) for r in rules if r.column in df.columns for code in r.found(df)]
+    if key and all(k in df.columns for k in key):
+        whole = F.lit(True)
+        for k in key:
+            whole = whole & F.col(k).isNotNull()
+        nth = F.row_number().over(W.partitionBy(*key).orderBy(*(order or key)))
+        codes.append(issue(F.when(whole & (nth > 1), "DUPLICATE_PRIMARY_KEY"), "|".join(key)))
+    out = df.withColumn("issues", F.array_compact(F.array(*codes)))
+    return out.withColumn("validation_status", F.when(F.size("issues") == 0, "PASS").otherwise("QUARANTINED"))
+
+
+def quarantined(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of checked() that pass, without their marks, and those that don't, with them."""
+    return rows.where("validation_status = 'PASS'").drop("issues", "validation_status"), rows.where("validation_status <> 'PASS'")
