@@ -68,6 +68,25 @@ def named_days(c: str | Column) -> Column:
     return F.array_compact(F.transform(found, lambda x: F.to_date(F.try_to_timestamp(short(x), F.lit("MMM d, yyyy")))))
 
 
+#: the full names of months; fixed values
+FULL_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+
+
+def mentioned_days(c: str | Column) -> Column:
+    """The different days of this century's first hundred years that a text mentions, in order: 2024-01-31, or January 31, 2024 with
+    or without the comma and in any case. Mentions are no proof of when something happened."""
+    iso = F.regexp_extract_all(_col(c), F.lit(r"\b(20\d{2}-\d{2}-\d{2})\b"), 1)
+    named = F.regexp_extract_all(_col(c), F.lit(rf"(?i)\b((?:{'|'.join(FULL_MONTHS)})\s+\d{{1,2}},?\s+20\d{{2}})\b"), 1)
+
+    def day(x: Column) -> Column:
+        part = lambda k: F.regexp_extract(x, r"(?i)^([a-z]+)\s+(\d{1,2}),?\s+(20\d{2})$", k)
+        month = F.array_position(F.array(*(F.lit(m.lower()) for m in FULL_MONTHS)), F.lower(part(1)))
+        return F.concat_ws("-", part(3), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(2), 2, "0")).try_cast("date")
+
+    days = F.concat(F.transform(iso, lambda x: x.try_cast("date")), F.transform(named, day))
+    return F.array_sort(F.array_distinct(F.array_compact(days)))
+
+
 def section_day(c: str | Column, year: str | Column) -> Column:
     """The day of a section heading that ends in (Mon DD)."""
     part = F.regexp_extract(_col(c), rf"\(((?:{MONTHS}) \d{{1,2}})\)\s*$", 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,20 +72,22 @@ def canonical(rows: DataFrame, registry: DataFrame, fields: dict[str, str], sour
     return resolved.select(*(F.col(f"{c}_canonical").alias(c) if c in fields else F.col(c) for c in rows.columns))
 
 
-def numbered(rows: DataFrame, order: str, name: str = "number") -> DataFrame:
-    """rows with their place in the order of a numeric or date column, from 1; ties are as the column's rows come.
+def numbered(rows: DataFrame, order: str, name: str = "number", ties: Sequence[str] | None = None) -> DataFrame:
+    """rows with their place in the order of a numeric or date column, from 1; ties by the columns `ties`, all of them if not given.
+
+    Only rows that are equal in all of these may change places in a rerun.
 
     Ranges of the order are counted first, and a range is numbered by itself, so no task holds all rows. At most
     RANGES bounds come to the driver.
     """
-    at = F.col(order).cast("double")
+    at, rest = F.col(order).cast("double"), [c for c in rows.columns if c != order]
     bounds = rows.agg(F.percentile_approx(at, [k / RANGES for k in range(1, RANGES)], 10000).alias("b")).first().b or []
     piece = F.lit(0) if not bounds else F.size(F.filter(F.array(*(F.lit(float(b)) for b in sorted(set(bounds)))), lambda b: b < at))
     rows = rows.withColumn("_range", piece)
     counts = rows.groupBy("_range").agg(F.count("*").alias("_c"))
     before = F.coalesce(F.sum("_c").over(W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_range", before.alias("_before"))  # a row a range
-    place = F.row_number().over(W.partitionBy("_range").orderBy(order))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(order, *(rest if ties is None else ties)))
     return rows.join(F.broadcast(offsets), "_range").withColumn(name, place + F.col("_before")).drop("_range", "_before")
 
 

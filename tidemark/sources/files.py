@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 MARK = "\ufeff"
 
@@ -122,3 +122,16 @@ def fields_named(json_text: str | Column, name: str) -> Column:
     """
     raw = F.regexp_extract_all(json_text, F.lit(rf'"{name}"\s*:\s*("(?:[^"\\]|\\.)*")'), 1)
     return F.transform(raw, lambda s: F.from_json(F.concat(F.lit('{"v":'), s, F.lit("}")), "v string")["v"])
+
+
+def canonical_json(rows: DataFrame, column: str) -> Column:
+    """A struct column as compact JSON with the fields of every level in name order, nulls written."""
+
+    def sorted_fields(c: Column, kind: DataType) -> Column:
+        if isinstance(kind, StructType):
+            return F.when(c.isNotNull(), F.struct(*(sorted_fields(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name))))
+        if isinstance(kind, ArrayType) and isinstance(kind.elementType, (StructType, ArrayType)):
+            return F.transform(c, lambda x: sorted_fields(x, kind.elementType))
+        return c
+
+    return F.to_json(sorted_fields(F.col(column), rows.schema[column].dataType), {"ignoreNullFields": "false"})
