@@ -75,3 +75,29 @@ def test_day_grain_stream(spark, tmp_path):
     days.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start(path).awaitTermination()
     got = sorted((r.entity_id, r.event_date.day, r.games, r.minutes) for r in spark.read.parquet(path).collect())
     assert got == [(1, 1, 2, 15.0), (2, 2, 1, 5.0)]
+
+
+COLUMNS = ("game_id", "team", "opponent", "min")
+
+
+def test_snapshot_scan_fails_closed(spark, tmp_path):
+    import hashlib
+
+    def scan(rows=("G1,BOS,NYK,31.5", "G2,BOS,MIA, 12 "), head="game_id,team,opponent,min", **manifest):
+        folder = tmp_path / f"s{len(list(tmp_path.iterdir()))}"
+        folder.mkdir()
+        text = "\ufeff" + "\n".join([head, *rows]) + "\n"
+        (folder / "a.csv").write_text(text, encoding="utf-8")
+        told = {"sha256": {"a.csv": hashlib.sha256(text.encode()).hexdigest()}, "row_count": len(rows)} | manifest
+        return files.snapshot_scan(spark, str(folder), told, COLUMNS, ["min"], {"min": 60}, ["game_id"], ("team", "opponent"))
+
+    rows, faults = scan()
+    assert {tuple(r) for r in rows.collect()} == {("G1", "BOS", "NYK", 31.5), ("G2", "BOS", "MIA", 12.0)} and faults.count() == 0
+    assert {tuple(r) for r in scan(("31.5,G1,BOS,NYK",), "min,game_id,team,opponent")[0].collect()} == {("G1", "BOS", "NYK", 31.5)}
+    bad = scan(("G1,BOS,BOS,x", "G1,BOS,NYK,61", "G3, ,NYK,-1", "G4,BOS,NYK,5,more"))[1]
+    assert {(r.code, r.column): r.n for r in bad.collect()} == {
+        ("SAME_TEAM_AND_OPPONENT", "team|opponent"): 1, ("INVALID_NUMERIC", "min"): 1, ("OUT_OF_RANGE", "min"): 2, ("NULL_CANONICAL_FIELD", "team"): 1, ("EXTRA_CSV_VALUES", ""): 1, ("DUPLICATE_KEY", "game_id"): 1,
+    }
+    for code, kwargs in (("PARENT_HASH_MISMATCH", {"sha256": {"a.csv": "0"}}), ("MANIFEST_ROW_COUNT_MISMATCH", {"row_count": 3}), ("INVALID_OR_DUPLICATE_HEADER", {"head": "min,min,team,opponent"}), ("CANONICAL_SCHEMA_MISMATCH", {"head": "game_id,team,opponent,pts"})):
+        with pytest.raises(files.SourceError, match=code):
+            scan(**kwargs)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Sequence
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 MARK = "\ufeff"
+#: bytes of a file that its header is looked for in
+HEAD = 65536
 
 
 class SourceError(ValueError):
@@ -135,3 +138,57 @@ def canonical_json(rows: DataFrame, column: str) -> Column:
         return c
 
     return F.to_json(sorted_fields(F.col(column), rows.schema[column].dataType), {"ignoreNullFields": "false"})
+
+
+def _header(first: bytes, strict: bool = False) -> tuple[str, ...]:
+    """Names of a CSV's first line."""
+    line = first.decode("utf-8-sig", errors="strict" if strict else "ignore").split("\n", 1)[0].rstrip("\r")
+    return tuple(next(csv.reader([line]), ()))
+
+
+def snapshot_scan(spark: SparkSession, path: str, manifest: dict, columns: Sequence[str], numbers: Sequence[str], most: dict[str, float], key: Sequence[str], differ: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, faults) of canonical CSV files that a manifest {sha256 of each file by name, row_count} vouches for.
+
+    What the files as a whole break raises SourceError: PARENT_HASH_MISMATCH, INVALID_OR_DUPLICATE_HEADER,
+    CANONICAL_SCHEMA_MISMATCH, CANONICAL_CSV_UNREADABLE, MANIFEST_ROW_COUNT_MISMATCH. faults(code, column, n) has what
+    single rows break: EXTRA_CSV_VALUES, NULL_CANONICAL_FIELD, INVALID_NUMERIC, OUT_OF_RANGE (negative, not finite or above
+    most), DUPLICATE_KEY, SAME_TEAM_AND_OPPONENT (the two columns of differ). rows are texts, trimmed, with numbers as doubles.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha"), F.substring("content", 1, HEAD).alias("head"), "path")
+    seen = {r.name: r for r in files.collect()}  # one row a file: its name, digest and first bytes
+    if {n: r.sha for n, r in seen.items()} != {n: s.lower() for n, s in manifest["sha256"].items()}:
+        raise SourceError("PARENT_HASH_MISMATCH")
+    heads = {}
+    for name, r in sorted(seen.items()):
+        try:
+            heads[name] = _header(bytes(r["head"]), strict=len(r["head"]) < HEAD)
+        except UnicodeDecodeError as wrong:
+            raise SourceError(f"CANONICAL_CSV_UNREADABLE {name}") from wrong
+        if not heads[name] or len(set(heads[name])) != len(heads[name]):
+            raise SourceError(f"INVALID_OR_DUPLICATE_HEADER {name}")
+        if set(heads[name]) != set(columns):
+            raise SourceError(f"CANONICAL_SCHEMA_MISMATCH {name}")
+    parts = []
+    for order in sorted(set(heads.values())):
+        named = [r["path"] for n, r in seen.items() if heads[n] == order]
+        schema = StructType([StructField(c, StringType()) for c in (*order, "_corrupt")])
+        parts.append(spark.read.schema(schema).options(header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").csv(named).select(*columns, "_corrupt"))
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    if rows.count() != manifest["row_count"]:
+        raise SourceError("MANIFEST_ROW_COUNT_MISMATCH")
+    value = {c: F.trim(F.col(c)).try_cast("double") for c in numbers}
+    blank = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) == "" for c in columns}
+    wide = F.col("_corrupt").isNotNull() & ~F.greatest(*blank.values())
+    codes = [(wide, "EXTRA_CSV_VALUES", "")]
+    codes += [(blank[c], "NULL_CANONICAL_FIELD", c) for c in columns]
+    for c in numbers:
+        out = F.isnan(value[c]) | (F.abs(value[c]) == float("inf")) | (value[c] < 0) | (value[c] > most.get(c, float("inf")))
+        codes += [(~blank[c] & value[c].isNull(), "INVALID_NUMERIC", c), (out, "OUT_OF_RANGE", c)]
+    if differ:
+        codes.append((F.trim(differ[0]) == F.trim(differ[1]), "SAME_TEAM_AND_OPPONENT", "|".join(differ)))
+    found = rows.select(F.explode(F.array_compact(F.array(*(F.when(t, F.struct(F.lit(code).alias("code"), F.lit(c).alias("column"))) for t, code, c in codes)))).alias("f")).select("f.*")
+    twice = rows.groupBy(*(F.trim(c).alias(c) for c in key)).count().where("count > 1").select(F.lit("DUPLICATE_KEY").alias("code"), F.lit("|".join(key)).alias("column"), F.explode(F.sequence(F.lit(2).cast("long"), "count"))).drop("col")
+    faults = found.unionByName(twice).groupBy("code", "column").agg(F.count("*").alias("n"))
+    return rows.select(*(value[c].alias(c) if c in numbers else F.trim(c).alias(c) for c in columns)), faults
