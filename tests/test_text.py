@@ -31,9 +31,14 @@ def test_directions_in_free_text(spark):
         ("Ann-Marie Lee scored 20 as the Utah Jazz beat the Boston Celtics.", "COOCCURRENCE_ONLY"),
         ("Ann-Marie Lee scored 20 for the Utah Jazz.", "NO_GRAMMATICAL_DIRECTION"),
         ("The Boston Celtics acquired a guard from the Utah Jazz.", "NO_DIRECTION_PROPOSAL"),
+        ("The Jazz will send rookie Ann-Marie Lee and a pick to the Boston Celtics.", "GRAMMATICAL_DIRECTION_CANDIDATE"),
+        ("Ann-Marie Lee was dealt to the Boston Celtics from Utah.", "GRAMMATICAL_DIRECTION_CANDIDATE"),
+        ("Ann-Marie Lee was dealt to the Boston Celtics by Utah.", "COOCCURRENCE_ONLY"),
+        ("Boston Celtics acquired " + "x" * 98 + " Ann-Marie Lee from Utah.", "GRAMMATICAL_DIRECTION_CANDIDATE"),
+        ("Boston Celtics acquired " + "x" * 99 + " Ann-Marie Lee from Utah.", "COOCCURRENCE_ONLY"),
         ("Ann-Marie Leeds was traded from the Utah Jazz to the Boston Celtics.", "NO_DIRECTION_PROPOSAL"),
     ]
-    rows = spark.createDataFrame(told, "t string, want string").select("want", tx.direction("t", F.lit("Ann-Marie Lee"), F.lit("Utah Jazz"), F.lit("Boston Celtics")).alias("got"))
+    rows = spark.createDataFrame(told, "t string, want string").select("want", tx.direction("t", F.lit("Ann-Marie Lee"), F.array(F.lit("utah"), F.lit("jazz")), F.array(F.lit("Boston Celtics"))).alias("got"))
     assert [r.got for r in rows.collect()] == [w for _, w in told]
     stages = [("The trade is pending league approval.", "PENDING_APPROVAL"), ("They reportedly agreed to a deal.", "REPORTED_OR_AGREED"), ("They officially acquired her.", "ANNOUNCED_LANGUAGE_UNVERIFIED"), ("A quiet day.", "STAGE_UNKNOWN")]
     assert [r.s for r in spark.createDataFrame([(t,) for t, _ in stages], "t string").select(tx.stage("t").alias("s")).collect()] == [s for _, s in stages]

@@ -89,8 +89,14 @@ STAGES = (
     ("REPORTED_OR_AGREED", r"\b(reportedly|reports? say|according to|agreed to|agreement in principle|expected to)\b"),
     ("ANNOUNCED_LANGUAGE_UNVERIFIED", r"\b(officially|announced|has acquired|have acquired|acquires|acquired|completed)\b"),
 )
-GAINS = "acquire[ds]?|obtains?|receive[ds]?"
-GIVES = "trade[ds]?|sends?|sent|dealt"
+#: what says that a player p went from a team o to a team d; fixed values
+MOVES = (
+    r"{d}.{0,90}\b(?:acquire[ds]?|obtains?|receive[ds]?)\b.{0,100}{p}.{0,90}\bfrom\b\s+(?:the\s+)?{o}",
+    r"{d}.{0,90}\b(?:acquire[ds]?|obtains?|receive[ds]?)\b.{0,100}{p}.{0,100}\bfrom\b\s+(?:the\s+)?{o}",
+    r"{o}.{0,90}\b(?:trade[ds]?|send[st]?)\b.{0,100}{p}.{0,90}\bto\b\s+(?:the\s+)?{d}",
+    r"{p}.{0,100}\b(?:traded|sent|dealt)\b.{0,90}\bfrom\b\s+(?:the\s+)?{o}.{0,90}\bto\b\s+(?:the\s+)?{d}",
+    r"{p}.{0,80}\b(?:traded|sent|dealt)\b.{0,90}\bto\b\s+(?:the\s+)?{d}.{0,90}\bfrom\b\s+(?:the\s+)?{o}",
+)
 
 
 def stage(c: str | Column) -> Column:
@@ -107,24 +113,22 @@ def quoted(c: str | Column) -> Column:
 
 
 def direction(c: str | Column, who: str | Column, origin: str | Column, dest: str | Column) -> Column:
-    """Whether a sentence says, and not merely hints, that who moved from origin to dest."""
-    w, o, d = (F.concat(F.lit(r"(?<!\w)"), quoted(x), F.lit(r"(?!\w)")) for x in (who, origin, dest))
-    near = F.lit(".{0,100}")
-    verb = lambda words: F.lit(rf"\b({words})\b")
-    out_of, into = F.concat(F.lit(r"\bfrom\s+(the\s+)?"), o), F.concat(F.lit(r"\bto\s+(the\s+)?"), d)
-    moves = (
-        (d, verb(GAINS), w, out_of),
-        (o, verb(GIVES), w, into),
-        (w, verb(GIVES), out_of, into),
-        (w, verb(GIVES), into, out_of),
-    )
-    says = lambda *parts: F.regexp_like(c, F.concat(F.lit("(?isU)"), parts[0], *(x for p in parts[1:] for x in (near, p))))
-    told = says(*moves[0])
-    for parts in moves[1:]:
-        told = told | says(*parts)
+    """Whether a sentence says, and not merely hints, that who moved from origin to dest.
+
+    origin and dest are arrays of the names a team goes by. Without all three, or where the sentence doesn't name who as a
+    whole phrase, there is NO_DIRECTION_PROPOSAL.
+    """
+    c, who, origin, dest = (F.col(x) if isinstance(x, str) else x for x in (c, who, origin, dest))
+    any_of = lambda names: F.concat(F.lit("(?:"), F.array_join(F.transform(names, quoted), "|"), F.lit(")"))
+    p, o, d = quoted(who), any_of(origin), any_of(dest)
+    pattern = F.lit("(?i)(?:" + "|".join(MOVES) + ")")
+    for mark, x in (("{p}", p), ("{o}", o), ("{d}", d)):
+        pattern = F.replace(pattern, F.lit(mark), x)
+    whole = lambda x: F.coalesce(F.regexp_like(c, F.concat(F.lit(r"(?iU)(?<!\w)"), x, F.lit(r"(?!\w)"))), F.lit(False))
+    given = F.coalesce((who != "") & (F.size(origin) > 0) & (F.size(dest) > 0), F.lit(False))
     return (
-        F.when(~F.coalesce(says(w), F.lit(False)), "NO_DIRECTION_PROPOSAL")
-        .when(told, "GRAMMATICAL_DIRECTION_CANDIDATE")
-        .when(says(o) & says(d), "COOCCURRENCE_ONLY")
+        F.when(~given | ~whole(p), "NO_DIRECTION_PROPOSAL")
+        .when(F.regexp_like(c, pattern), "GRAMMATICAL_DIRECTION_CANDIDATE")
+        .when(whole(o) & whole(d), "COOCCURRENCE_ONLY")
         .otherwise("NO_GRAMMATICAL_DIRECTION")
     )

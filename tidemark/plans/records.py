@@ -203,18 +203,31 @@ def target_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unpivot([], list(checks), "code", "n")
 
 
+#: sentences about a supplier (p), its nation's old team (o) and new one (d), with a gap of any length (g)
+SENTENCES = (
+    "{d} acquired {p}{g} from the {o}", "Reportedly {p} was traded{g} from {o} to the {d}", "{p}: {o} and {d} are awaiting a physical", "{o} played {d}", "{o} send {p} and a pick{g} to {d}, officially",
+    "{p} was dealt to {d}{g} from {o}", "{d} are expected to{g} obtain {p} from {o}", "{p} beat {o} for {d}", "according to {d}, {p}x was sent from {o} to {d}", "{d} RECEIVES{g} {p}; not yet approved", "{p} rests",
+)
+_SAID = "[" + ", ".join("'" + s + "'" for s in SENTENCES) + f"][s_suppkey % {len(SENTENCES)} + 1]"
+_MOVE = "'(?i)(?:" + "|".join(tx.MOVES) + ")'"
+_FILL = lambda of, p, o, d: f"replace(replace(replace({of}, '{{p}}', {p}), '{{o}}', {o}), '{{d}}', {d})"
+_STAGE = " ".join(f"when regexp_matches(said, '(?i){words}') then '{name}'" for name, words in tx.STAGES)
+
+
 @query(
-    """select s_suppkey, case s_suppkey % 4 when 0 then 'GRAMMATICAL_DIRECTION_CANDIDATE' when 1 then 'GRAMMATICAL_DIRECTION_CANDIDATE' when 2 then 'COOCCURRENCE_ONLY' else 'NO_DIRECTION_PROPOSAL' end as direction,
- case s_suppkey % 4 when 0 then 'ANNOUNCED_LANGUAGE_UNVERIFIED' when 1 then 'REPORTED_OR_AGREED' when 2 then 'PENDING_APPROVAL' else 'STAGE_UNKNOWN' end as stage from supplier"""
+    f"""with s as (select s_suppkey, replace(s_name, '#', ' ') as p, 'Old ' || s_nationkey as o, 'New ' || s_nationkey as d, {_SAID} as t from supplier),
+ f as (select *, {_FILL("replace(t, '{g}', ' ' || repeat('y', (s_suppkey % 120)::int))", 'p', 'o', 'd')} as said from s)
+ select s_suppkey, case when not regexp_matches(said, '(?i)(^|\\W)' || p || '($|\\W)') then 'NO_DIRECTION_PROPOSAL' when regexp_matches(said, {_FILL(_MOVE, 'p', "'(?:' || o || '|Elders)'", "'(?:' || d || ')'")}) then 'GRAMMATICAL_DIRECTION_CANDIDATE'
+  when regexp_matches(said, '(?i)(^|\\W)' || o || '($|\\W)') and regexp_matches(said, '(?i)(^|\\W)' || d || '($|\\W)') then 'COOCCURRENCE_ONLY' else 'NO_GRAMMATICAL_DIRECTION' end as direction, case {_STAGE} else 'STAGE_UNKNOWN' end as stage from f"""
 )
 def move_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Direction and stage of sentences about suppliers; the SQL states what each sentence was made to say."""
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("who"), F.concat(F.lit("Team A"), "s_nationkey").alias("origin"), F.concat(F.lit("Team B"), "s_nationkey").alias("dest"))
-    said = (
-        F.when(F.col("s_suppkey") % 4 == 0, F.concat("dest", F.lit(" acquired "), "who", F.lit(" from the "), "origin"))
-        .when(F.col("s_suppkey") % 4 == 1, F.concat(F.lit("Reportedly "), "who", F.lit(" was traded from "), "origin", F.lit(" to the "), "dest"))
-        .when(F.col("s_suppkey") % 4 == 2, F.concat("who", F.lit(": "), "origin", F.lit(" and "), "dest", F.lit(" are awaiting a physical")))
-        .otherwise(F.concat("origin", F.lit(" played "), "dest"))
-    )
-    rows = rows.withColumn("said", said)
-    return rows.select("s_suppkey", tx.direction("said", "who", "origin", "dest").alias("direction"), tx.stage("said").alias("stage"))
+    """Direction and stage of sentences about suppliers, with gaps between their parts that some patterns reach over."""
+    rows = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.replace("s_name", F.lit("#"), F.lit(" ")).alias("p"), F.concat(F.lit("Old "), "s_nationkey").alias("o"), F.concat(F.lit("New "), "s_nationkey").alias("d"),
+        F.element_at(F.array(*map(F.lit, SENTENCES)), (F.col("s_suppkey") % len(SENTENCES) + 1).cast("int")).alias("said"),
+    )
+    gap = F.concat(F.lit(" "), F.repeat(F.lit("y"), (F.col("s_suppkey") % 120).cast("int")))
+    for mark, x in (("{g}", gap), ("{p}", F.col("p")), ("{o}", F.col("o")), ("{d}", F.col("d"))):
+        rows = rows.withColumn("said", F.replace("said", F.lit(mark), x))
+    told = tx.direction("said", "p", F.array("o", F.lit("Elders")), F.array("d"))
+    return rows.select("s_suppkey", told.alias("direction"), tx.stage("said").alias("stage"))
