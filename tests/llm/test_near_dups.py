@@ -107,8 +107,10 @@ def test_odd_rows(spark):
 
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 5), (5, 7), (9, 9)]
-    got = {(r.u, r.root) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {(i, 100) for i in range(100, 161)} | {(5, 5), (7, 5)}
+    for few in (0, 1000):  # by stars, and in one task
+        got = {(r.u, r.root) for r in components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
+        assert got == {(i, 100) for i in range(100, 161)} | {(5, 5), (7, 5)}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
 def test_one_template_in_many_classes(spark):

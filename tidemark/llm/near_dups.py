@@ -233,8 +233,8 @@ class _Linker:
         """Links across components among classes that open lists connect, from their full sets, block by block.
 
         Each class outside the largest component of its group is compared with the whole group; what is shuffled is
-        a copy of each set for each block of the other side, and what comes out at most one link for each class, block
-        and component.
+        a copy of each set for each block of the other side, and what comes out of two blocks fewer links than they have
+        classes.
         """
         if lists.isEmpty():
             return
@@ -267,14 +267,18 @@ def _linked_blocks(percent: int):
             values = np.concatenate(right["members"].to_list())
             order = np.argsort(values, kind="stable")
             values, owner = values[order], np.repeat(np.arange(len(right)), sizes)[order]
-            nodes, roots = right["node"].to_numpy(), right["root"].to_numpy()
-            for node, root, members in zip(left["node"], left["root"], left["members"], strict=True):
+            nodes = right["node"].to_numpy()
+            _, spot = np.unique(np.concatenate([left["root"], right["root"]]), return_inverse=True)
+            part, mine = np.arange(spot.max() + 1), spot[len(left) :]  # components as far as this block has linked them
+            for node, root, members in zip(left["node"], spot, left["members"], strict=False):
                 lo, hi = np.searchsorted(values, members, "left"), np.searchsorted(values, members, "right")
                 hits = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
                 shared = np.bincount(owner[hits], minlength=len(right))
-                k = np.flatnonzero((100 * shared >= percent * (sizes + len(members) - shared)) & (roots != root))
-                _, once = np.unique(roots[k], return_index=True)
-                out += [(node, b) for b in nodes[k[once]].tolist()]
+                k = np.flatnonzero(100 * shared >= percent * (sizes + len(members) - shared))
+                met, once = np.unique(part[mine[k]], return_index=True)
+                new = met != part[root]
+                out += [(node, b) for b in nodes[k[once[new]]].tolist()]
+                part[np.isin(part, met)] = part[root]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
