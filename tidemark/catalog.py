@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import contracts, courts, evidence, forecasting, identities, pages, pregame, records, reports, review, trees  # noqa: F401  (importing them registers their queries)
+from tidemark.plans import contracts, courts, evidence, forecasting, identities, invariants, pages, pregame, records, reports, review, trees  # noqa: F401  (importing them registers their queries)
 from tidemark.plans.registry import QUERIES, SQL
 
 
