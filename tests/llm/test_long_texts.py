@@ -77,7 +77,7 @@ def test_counts_leaks_and_personal_data(spark, frame, rows):
     assert [(x.doc_id, x.item_id) for x in leaks] == [(2, 9)]
     assert find_leaks(frame.limit(0), items).collect() == [] and find_leaks(frame, items.limit(0)).collect() == []
     found = find_pii(frame).select("doc_id", as_line(F.filter("pii", lambda s: s["rank"] < 4)).alias("base")).collect()
-    assert len(found) == len(docs) and all(x.base == base_line(texts[x.doc_id]) for x in found) and find_pii(frame.limit(0)).collect() == []
+    assert len(found) == len(docs) and all(x.base == base_line("" if x.doc_id == 7 else texts[x.doc_id]) for x in found) and find_pii(frame.limit(0)).collect() == []
 
 
 def test_languages(frame, rows):
