@@ -109,3 +109,10 @@ def test_training_is_denied(spark):
     assert pk.training_authorization(rows).first().asDict() == {"eligible": False, "authorization": "DENIED_NOT_OVERRIDABLE"}
     runs = spark.createDataFrame([(["a", "b", "c"], ["b", "c"]), (["a"], ["a", "a"]), (["a"], []), ([], [])], "h array<string>, n array<string>").select(pk.has_run(F.col("h"), F.col("n")).alias("x"))
     assert [r.x for r in runs.collect()] == [True, False, False, False]
+
+
+def test_a_run_of_tokens_in_a_long_text(spark):
+    long = "the of " * 20000
+    texts = [(1, long), (2, long + "a of, The b"), (3, "of them"), (4, "often the"), (5, ""), (6, None)]
+    rows = spark.createDataFrame(texts, "k int, t string").select("k", pk.has_run(pk.tokens("t"), F.array(F.lit("of"), F.lit("the"))).alias("x"))
+    assert {r.k: r.x for r in rows.collect()} == {1: True, 2: True, 3: False, 4: False, 5: False, 6: None}

@@ -22,10 +22,12 @@ def tokens(c: str | Column) -> Column:
 
 
 def has_run(hay: Column, needle: Column) -> Column:
-    """Whether the tokens of needle stand in hay next to each other and in order; an empty needle doesn't."""
-    last = F.size(hay) - F.size(needle)
-    starts = F.when((last >= 0) & (F.size(needle) > 0), F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.exists(starts, lambda i: F.slice(hay, i + 1, F.size(needle)) == needle)
+    """Whether the tokens of needle stand in hay next to each other and in order; an empty needle doesn't, null gives null.
+
+    Tokens hold no spaces, so a run of them is a part of the text that they make; hay is computed once.
+    """
+    text = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
+    return F.contains(text(hay), text(needle)) & (F.size(needle) > 0)
 
 
 def _whole(phrase: str) -> str:
