@@ -111,6 +111,12 @@ def test_training_is_denied(spark):
     assert [r.x for r in runs.collect()] == [True, False, False, False]
 
 
+def test_report_times_at_the_ends_of_summer_time(spark):
+    names = {"1998-10-25_1AM": 6, "1998-10-25_2AM": 7, "1998-10-25_12AM": 4, "1998-04-05_2AM": 7, "1998-04-05_3AM": 7, "1998-04-05_1AM": 6}
+    rows = spark.createDataFrame([(f"Injury-Report_{n}.pdf",) for n in names], "n string").select("n", F.date_format(dates.report_time("n"), "H:mm").alias("t"))
+    assert {r.n[14:-4]: r.t for r in rows.collect()} == {n: f"{h}:00" for n, h in names.items()}
+
+
 def test_a_run_of_tokens_in_a_long_text(spark):
     long = "the of " * 20000
     texts = [(1, long), (2, long + "a of, The b"), (3, "of them"), (4, "often the"), (5, ""), (6, None)]

@@ -31,13 +31,19 @@ def utc_time(c: str | Column) -> Column:
 
 
 def report_time(name: str | Column) -> Column:
-    """The UTC time that a report's file name tells in New York's time, on a 12-hour clock."""
+    """The UTC time that a report's file name tells in New York's time, on a 12-hour clock.
+
+    A time that the end of summer time repeats is the later one, of winter time.
+    """
     part = lambda k: F.regexp_extract(_col(name), REPORT_NAME, k)
     hour = F.nullif(part(2), F.lit("")).try_cast("int")
     at = hour % 12 + F.when(F.upper(part(4)) == "PM", 12).otherwise(0)
     minute = F.coalesce(F.nullif(part(3), F.lit("")).try_cast("int"), F.lit(0))
     local = F.try_to_timestamp(F.concat(part(1), F.format_string(" %02d:%02d", at, minute)), F.lit("yyyy-MM-dd HH:mm"))
-    return F.when(hour.between(1, 12), F.to_utc_timestamp(local, REPORT_ZONE))
+    utc = lambda t: F.to_utc_timestamp(t, REPORT_ZONE)
+    hour_on = F.make_interval(hours=F.lit(1))
+    # an hour later no repeated time is left; where summer time begins the plain reading is the later one
+    return F.when(hour.between(1, 12), F.greatest(utc(local), utc(local + hour_on) - hour_on))
 
 
 def minutes_of(c: str | Column) -> Column:
