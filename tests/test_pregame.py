@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from tidemark.operators import forecasts as fc
 from tidemark.operators import identity as idn
 from tidemark.operators import packets as pk
 from tidemark.operators import provenance as pv
+from tidemark.plans.registry import rounded
 from tidemark.sources import feeds
 
 SF = "/root/testdata/sf0.001"
@@ -122,3 +124,19 @@ def test_a_run_of_tokens_in_a_long_text(spark):
     texts = [(1, long), (2, long + "a of, The b"), (3, "of them"), (4, "often the"), (5, ""), (6, None)]
     rows = spark.createDataFrame(texts, "k int, t string").select("k", pk.has_run(pk.tokens("t"), F.array(F.lit("of"), F.lit("the"))).alias("x"))
     assert {r.k: r.x for r in rows.collect()} == {1: True, 2: True, 3: False, 4: False, 5: False, 6: None}
+
+
+def test_day_means_are_sums_in_order_and_halves_round_as_in_sql(spark):
+    values = [0.1 + k * 1.7 for k in range(40)]
+    columns = "entity_id long, event_date date, game_id long, minutes double, points double, extras double"
+    rows = [(1, dt.date(2024, 1, 1), k, v, float("inf") if k % 2 else 1e25, float("nan")) for k, v in enumerate(values)]
+    random.Random(3).shuffle(rows)
+    got = days.day_grain(spark.createDataFrame(rows, columns)).first()
+    total = 0.0
+    for v in values:
+        total += v
+    assert (got.games, got.minutes, got.points, got.extras) == (40, total / 40, 1e25, None)
+    halves = [16.5459375, 33.2390625, -33.2390625, 1e305, float("nan"), None]
+    out = rounded(spark.createDataFrame([(x, 1) for x in halves], "x double, n int"), "x", "n").collect()
+    sql = [r[0] for r in duckdb.sql("select round(x, 6) from (select unnest([16.5459375, 33.2390625, -33.2390625, 1e305, 'nan', null]::double[]) as x)").fetchall()]
+    assert [str(r.x) for r in out] == [str(x) for x in sql] and {r.n for r in out} == {1}

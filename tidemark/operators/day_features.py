@@ -13,8 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KEYS = ("entity_id", "event_date")
-#: sums of a day are whole units of 1e-15, so that they don't depend on the order of its games
-EXACT = "decimal(38,15)"
+#: the order in which the games of a day are added up, whatever their order in the table
+ORDER = "game_id"
 MEASURES = ("minutes", "points", "extras")
 SPANS = (3, 5, 10)
 ROLE_STEP = 6.0
@@ -28,10 +28,14 @@ def present(c: str) -> Column:
 def day_grain(games: DataFrame, measures: tuple[str, ...] = MEASURES) -> DataFrame:
     """A row for each entity and day: games and the mean of each measure, whatever the order of the games.
 
-    Infinite values, and those of 1e23 and more, count as missing.
+    Doubles are added up by ORDER, then by value; infinite ones count as missing.
     """
-    exact = {m: present(m).try_cast(EXACT) for m in measures}
-    return games.groupBy(*KEYS).agg(F.count("*").alias("games"), *(F.try_divide(F.sum(x).cast("double"), F.count(x)).alias(m) for m, x in exact.items()))
+    finite = {m: F.when(F.abs(present(m)) < float("inf"), present(m)) for m in measures}
+    order = [ORDER] if ORDER in games.columns else []
+    each = F.array_sort(F.collect_list(F.struct(*order, *(x.alias(m) for m, x in finite.items()))))
+    days = games.groupBy(*KEYS).agg(F.count("*").alias("games"), each.alias("_games"), *(F.count(x).alias(f"_n_{m}") for m, x in finite.items()))
+    total = lambda m: F.aggregate("_games", F.lit(0.0), lambda acc, g: acc + F.coalesce(g[m], F.lit(0.0)))
+    return days.select(*KEYS, "games", *(F.try_divide(total(m), F.col(f"_n_{m}")).alias(m) for m in measures))
 
 
 def _days() -> W:
