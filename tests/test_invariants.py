@@ -63,3 +63,12 @@ def test_words_join_the_nearest_open_line(spark):
         want[t] = min(near, key=lambda o: abs(o - y)) if near else y
         opened += [] if near else [y]
     assert got == want and len(set(want.values())) == 3
+
+
+def test_the_log_of_doubts_reads_its_cells_once(spark):
+    cells = spark.createDataFrame([(1, 1, 100.0, 430.0, "Lee, Ann"), (1, 1, 100.0, 600.0, "Out"), (1, 1, 112.0, 670.0, "Left Knee"), (1, 1, 116.0, 670.0, "Rest")], "doc int, page int, y double, x double, text string")
+    rows, doubts = at.attributed(cells)
+    for df in (rows, doubts):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert [(r.reason, r.reason_ys) for r in rows.collect()] == [("Left Knee", "112.0")]
+    assert sorted(r.issue for r in doubts.collect()) == ["MISSING_CONTEXT"]

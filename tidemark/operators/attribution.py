@@ -9,6 +9,8 @@ and no state is held but a window's.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,9 +35,10 @@ def table_lines(cells: DataFrame) -> DataFrame:
     lane = F.lit("reason")
     for name, left in reversed([(n, b) for (n, _), (_, b) in zip(LANES, LANES[1:], strict=False)]):
         lane = F.when(F.col("x") < left, name).otherwise(lane)
-    text = lambda c: F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(lane == c, F.struct("x", "y", "text")))), lambda w: w["text"]), " "))
-    rows = lined.groupBy(*PAGE, "line").agg(F.avg(F.col("y").cast("double")).alias("y"), *(text(c).alias(c) for c, _ in LANES))
-    return rows.where((F.col("y") >= BODY[0]) & (F.col("y") < BODY[1])).drop("line")
+    text = lambda c: F.trim(F.array_join(F.transform(F.filter("_w", lambda w: w["lane"] == c), lambda w: w["text"]), " "))
+    rows = lined.groupBy(*PAGE, "line").agg(F.avg(F.col("y").cast("double")).alias("y"), F.array_sort(F.collect_list(F.struct("x", "y", "text", lane.alias("lane")))).alias("_w"))
+    rows = rows.where((F.col("y") >= BODY[0]) & (F.col("y") < BODY[1]))
+    return rows.select(*PAGE, "y", *(text(c).alias(c) for c, _ in LANES))
 
 
 def _walk(rows: DataFrame) -> DataFrame:
@@ -53,7 +56,13 @@ def _walk(rows: DataFrame) -> DataFrame:
     upto, before = doc.rowsBetween(W.unboundedPreceding, 0), doc.rowsBetween(W.unboundedPreceding, -1)
     old = F.coalesce(F.last("_day", ignorenulls=True).over(before), F.lit(""))
     starts = F.col("said_game").isNotNull() | (F.col("_day") == "") | (F.col("_day") != old)
-    rows = rows.withColumn("_stretch", F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(upto))
+    rows = rows.withColumns(
+        {
+            "_stretch": F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(upto),
+            "game_date": F.nullif(F.last("_day", ignorenulls=True).over(upto), F.lit("")),
+            "context_page": F.last(F.when(F.col("said_team").isNotNull(), F.col("page")), ignorenulls=True).over(upto),
+        }
+    )
     one = W.partitionBy("doc", "_stretch").orderBy("page", "y").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("_game", F.last("said_game", ignorenulls=True).over(one))
     outside = F.coalesce(F.col("said_team").isNotNull() & ~F.array_contains(F.split("_game", "@"), F.col("said_team")), F.lit(False))
@@ -62,11 +71,9 @@ def _walk(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_team", F.last(seen, ignorenulls=True).over(one))
     return rows.withColumns(
         {
-            "game_date": F.nullif(F.last("_day", ignorenulls=True).over(upto), F.lit("")),
             "game": F.when(F.col("_n") == 0, F.col("_game")),
             "team_code": F.col("_team.t"),
             "team_name": F.col("_team.n"),
-            "context_page": F.last(F.when(F.col("said_team").isNotNull(), F.col("page")), ignorenulls=True).over(upto),
             "conflict": F.col("_outside") & (F.col("_n") == 1),
         }
     )
@@ -82,19 +89,22 @@ def attributed(cells: DataFrame, slate_day: str = "", slate: tuple[str, ...] = (
     walked = _walk(table_lines(cells))
     known = F.col("status").isin(*STATUS.split("|"))
     kind = F.when(known & (F.col("player") != ""), "PLAYER").when(F.col("reason").rlike(PENDING), "SUBMISSION")
-    walked = walked.withColumn("kind", kind)
-    anchors = walked.where("kind is not null")
+    y = F.col("y")
+    down = W.partitionBy(*PAGE).orderBy("y")
+    anchor = F.when(F.col("kind").isNotNull(), y)
+    told = F.when((F.col("reason") != "") & ~F.col("reason").rlike(PENDING), F.struct("y", "reason"))
+    above, below = (F.coalesce(f(anchor, ignorenulls=True).over(down.rowsBetween(*r)), other) for f, r, other in ((F.last, (W.unboundedPreceding, -1), y - ALONE), (F.first, (1, W.unboundedFollowing), y + ALONE)))
+    near = math.ceil(REASON_REACH + SLACK)
+    # neighbours and reasons are read off the page's lines in order; nothing is joined, and each line is walked once
+    walked = walked.withColumn("kind", kind).withColumns({"_up": above, "_low": below, "_near": F.collect_list(told).over(down.rangeBetween(-near, near))})
+    since, until = F.greatest(y - REASON_REACH, (F.col("_up") + y) / 2) - SLACK, F.least(y + REASON_REACH, (F.col("_low") + y) / 2) + SLACK
+    met = F.array_sort(F.filter("_near", lambda r: (r["y"] >= F.col("_from")) & (r["y"] <= F.col("_to"))))
+    walked = walked.withColumns({"_from": since, "_to": until}).withColumn("_met", F.when(F.col("kind") == "PLAYER", met)).withColumn("_some", F.size("_met") > 0)
+    said, heights = F.array_join(F.transform("_met", lambda r: r["reason"]), " "), F.array_join(F.transform("_met", lambda r: F.round(r["y"], 1).cast("string")), "|")
+    walked = walked.withColumns({"_reason": F.when(F.col("_some"), said), "reason_ys": F.when(F.col("_some"), heights)})
+    rows = walked.where("kind is not null")
     origin = F.when(F.col("context_page") < F.col("page"), "CROSS_PAGE_CONTINUATION").otherwise("SAME_PAGE_OR_PRIOR_CONTEXT")
     scope = F.when(F.col("game").isNull() | F.col("game_date").isNull(), "UNRESOLVED").when((F.col("game_date") == slate_day) & F.col("game").isin(*slate), "IN_SLATE").otherwise("OUTSIDE_SLATE")
-    down = W.partitionBy(*PAGE).orderBy("y")
-    y = F.col("y")
-    up, low = F.coalesce(F.lag("y").over(down), y - ALONE), F.coalesce(F.lead("y").over(down), y + ALONE)
-    anchors = anchors.withColumns({"_from": F.greatest(y - REASON_REACH, (up + y) / 2) - SLACK, "_to": F.least(y + REASON_REACH, (low + y) / 2) + SLACK})
-    told = walked.where((F.col("reason") != "") & ~F.col("reason").rlike(PENDING)).select(*PAGE, F.col("y").alias("_ry"), F.col("reason").alias("_rt"))
-    met = anchors.where("kind = 'PLAYER'").select(*PAGE, "y", "_from", "_to").join(told, list(PAGE)).where("_ry >= _from and _ry <= _to")
-    each = F.array_sort(F.collect_list(F.struct("_ry", "_rt")))
-    met = met.groupBy(*PAGE, "y").agg(F.array_join(F.transform(each, lambda r: r["_rt"]), " ").alias("_reason"), F.array_join(F.transform(each, lambda r: F.round(r["_ry"], 1).cast("string")), "|").alias("reason_ys"))
-    rows = anchors.join(met, [*PAGE, "y"], "left")
     player = F.col("kind") == "PLAYER"
     out = rows.select(
         "kind", *PAGE, F.round("y", 1).alias("y"), "game_date", "game", F.col("team_code").alias("team"), "team_name",
@@ -102,18 +112,14 @@ def attributed(cells: DataFrame, slate_day: str = "", slate: tuple[str, ...] = (
         F.when(player, F.col("_reason")).otherwise(F.col("reason")).alias("reason"), "reason_ys", origin.alias("context_origin"), scope.alias("slate_scope"),
     )
 
-    def doubt(of: DataFrame, where: Column, issue: str, detail: Column) -> DataFrame:
-        return of.where(where).select(*PAGE, F.round("y", 1).alias("y"), F.lit(issue).alias("issue"), detail.alias("detail"))
-
     named = lambda c: F.coalesce(F.col(c), F.lit("None"))
-    doubts = (
-        doubt(walked, F.col("kind").isNull() & ((F.col("status") != "") | (F.col("player") != "")), "UNMATCHED_PLAYER_OR_STATUS", F.concat_ws(" / ", "player", "status")),
-        doubt(walked, F.col("_bad_day"), "INVALID_GAME_DATE", F.col("date")),
-        doubt(walked, F.col("conflict"), "TEAM_MATCHUP_CONFLICT", F.concat_ws(" / ", "said_name", "_game")),
-        doubt(anchors, F.col("game").isNull() | F.col("team_code").isNull(), "MISSING_CONTEXT", F.concat(F.lit("game="), named("game"), F.lit(" team="), named("team_name"))),
-        doubt(rows, player & F.col("_reason").isNull(), "REASON_MISSING", F.col("player")),
+    anchored = F.col("kind").isNotNull()
+    checks = (
+        (~anchored & ((F.col("status") != "") | (F.col("player") != "")), "UNMATCHED_PLAYER_OR_STATUS", F.concat_ws(" / ", "player", "status")),
+        (F.col("_bad_day"), "INVALID_GAME_DATE", F.col("date")),
+        (F.col("conflict"), "TEAM_MATCHUP_CONFLICT", F.concat_ws(" / ", "said_name", "_game")),
+        (anchored & (F.col("game").isNull() | F.col("team_code").isNull()), "MISSING_CONTEXT", F.concat(F.lit("game="), named("game"), F.lit(" team="), named("team_name"))),
+        (player & F.col("_reason").isNull(), "REASON_MISSING", F.col("player")),
     )
-    log = doubts[0]
-    for more in doubts[1:]:
-        log = log.unionByName(more)
-    return out, log
+    doubts = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(issue).alias("issue"), detail.alias("detail"))) for c, issue, detail in checks)))
+    return out, walked.select(*PAGE, F.round("y", 1).alias("y"), F.explode(doubts).alias("d")).select(*PAGE, "y", "d.issue", "d.detail")
