@@ -29,14 +29,16 @@ def lines(words: DataFrame, page: Sequence[str], y: str, tie: str, tolerance: fl
         return out.unionByName(words.where(F.col(y).isNull()).withColumn("line", F.lit(None).cast("long")))
 
     at = F.col(y).cast("double")
+    pages = words.groupBy(*page).agg(F.collect_list(F.struct(at.alias("at"), F.struct(*words.columns).alias("word"))).alias("_w"))
     opened = F.aggregate(
-        F.array_sort(F.collect_set(at).over(W.partitionBy(*page))),
+        F.array_sort(F.array_distinct(F.filter(F.transform("_w", lambda w: w["at"]), lambda v: v.isNotNull()))),
         F.array().cast("array<double>"),
         lambda acc, v: F.when((F.size(acc) > 0) & (v - F.try_element_at(acc, F.lit(-1)) <= tolerance), acc).otherwise(F.concat(acc, F.array(v))),
     )
-    placed = words.withColumn("_opened", opened)
-    line = F.size(F.filter("_opened", lambda s: s <= at)) - 1
-    return placed.withColumn("line", F.when(at.isNotNull(), line).cast("long")).drop("_opened")
+    # the page's fold is a row's column before its words are told apart, so it is done once a page
+    folded = pages.select("_w", opened.alias("_opened")).withColumn("_w", F.explode("_w"))
+    line = F.size(F.filter("_opened", lambda s: s <= F.col("_w.at"))) - 1
+    return folded.select("_w.word.*", F.when(F.col("_w.at").isNotNull(), line).cast("long").alias("line"))
 
 
 def lane(x: str | Column, width: str | Column, starts: Sequence[tuple[str, float]]) -> Column:
