@@ -72,3 +72,15 @@ def test_the_log_of_doubts_reads_its_cells_once(spark):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
     assert [(r.reason, r.reason_ys) for r in rows.collect()] == [("Left Knee", "112.0")]
     assert sorted(r.issue for r in doubts.collect()) == ["MISSING_CONTEXT"]
+
+
+def test_pages_of_words_are_read_once(spark):
+    words = [(1, 1, 842.0, x, 70.0, x + 40, 78.0, t) for x, t in ((430.0, "Player"), (590.0, "Status"), (670.0, "Reason:"))]
+    words += [(1, p, 842.0, x, 100.0, x + 40, 108.0, t) for p in (1, 2) for x, t in ((430.0, "Lee,"), (475.0, "Ann"), (590.0, "Out"))] + [(1, 2, 842.0, 670.0, 94.0, 700.0, 102.0, "Rest")]
+    df = spark.createDataFrame(words, "doc int, page int, width double, x0 double, y0 double, x1 double, y1 double, text string")
+    records, columns = pt.table_records(df), pt.page_columns(pt._lined(df))
+    found = pt.recovered_reasons(records, df)
+    for of, reads in ((columns, 1), (records, 1), (found, 2)):
+        assert of._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == reads
+    assert sorted((r.page, r["mode"]) for r in columns.collect()) == [(1, "DETECTED_HEADER"), (2, "REUSED_COLUMNS")]
+    assert sorted((r.page, r.decision, r.proposed_reason) for r in found.collect()) == [(1, "UNRESOLVED", None), (2, "PROPOSED_REVIEW_REQUIRED", "Rest")]

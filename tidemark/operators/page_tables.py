@@ -33,17 +33,19 @@ def nearest_lines(words: DataFrame, page: Sequence[str], y: Column, order: Seque
     Words are taken in `order`: each joins the nearest line within tolerance that an earlier word opened (of two as
     near, the older one), else it opens a line at its own height. Only a page's openers are carried along.
     """
-    rows = words.withColumn("_y", y).where("_y is not null").withColumn("_i", F.row_number().over(W.partitionBy(*page).orderBy(*order)))
+    item = F.struct(*(o.alias(f"o{k}") for k, o in enumerate(F.col(c) if isinstance(c, str) else c for c in order)), y.alias("y"), F.struct(*words.columns).alias("word"))
+    pages = words.where(y.isNotNull()).groupBy(*page).agg(F.array_sort(F.collect_list(item)).alias("_w"))
     near = lambda o, h: F.abs(o["y"] - h["y"]) <= tolerance
     opened = F.aggregate(
-        F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_y").alias("y")))),
+        F.transform("_w", lambda w, i: F.struct(i.alias("i"), w["y"].cast("double").alias("y"))),
         F.array().cast("array<struct<i:int,y:double>>"),
         lambda acc, h: F.when(F.exists(acc, lambda o: near(o, h)), acc).otherwise(F.concat(acc, F.array(h))),
     )
-    rows = rows.join(rows.groupBy(*page).agg(opened.alias("_open")), list(page))
-    older = F.filter("_open", lambda o: o["i"] <= F.col("_i"))
-    mine = F.array_min(F.transform(older, lambda o: F.struct(F.abs(o["y"] - F.col("_y")).alias("d"), o["i"].alias("i"), o["y"].alias("y"))))
-    return rows.withColumn("line_y", mine["y"]).drop("_y", "_i", "_open")
+    # the fold is a column of the page's row before its words are told apart, so it is done once a page
+    rows = pages.select("_w", opened.alias("_open")).select("_open", F.posexplode("_w").alias("_i", "_w"))
+    older = F.filter("_open", lambda o: (o["i"] <= F.col("_i")) & near(o, F.col("_w")))
+    mine = F.array_min(F.transform(older, lambda o: F.struct(F.abs(o["y"] - F.col("_w.y")).alias("d"), o["i"].alias("i"), o["y"].alias("y"))))
+    return rows.select("_w.word.*", mine["y"].alias("line_y"))
 
 
 def _joined(*order: str, where: Column | None = None) -> Column:
@@ -58,30 +60,43 @@ def _lined(words: DataFrame) -> DataFrame:
     return nearest_lines(words, PAGE, ((F.col("y0") + F.col("y1")) / 2).cast("double"), order, LINE)
 
 
-def page_columns(lined: DataFrame) -> DataFrame:
-    """For each page: mode (DETECTED_HEADER, REUSED_COLUMNS, SKIPPED_NO_SAFE_COLUMNS) and columns (name, from) in order.
+def _columned(lined: DataFrame) -> DataFrame:
+    """doc, page, line_y, mode, columns as in page_columns(), and _w, the line's words(x0, text, x1) from the left.
 
-    A header is one of the page's first lines that has the three needed names in order. A page without one uses the
-    last header of its document, if that page's width differs by SAME_WIDTH at most.
+    A page's header is read off windows over its lines, so words are never joined with their page again.
     """
     plain = F.lower(F.regexp_replace("text", "^:+|:+$", ""))
     starts = {h: F.max(F.when(plain == h, F.col("x0"))).alias(h) for h in HEADS}
-    rows = lined.groupBy(*PAGE, "line_y").agg(F.max("width").alias("width"), F.lower(_joined("x0")).alias("_text"), *starts.values())
-    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy(*PAGE).orderBy("line_y")))
+    rows = lined.groupBy(*PAGE, "line_y").agg(F.max("width").alias("width"), F.array_sort(F.collect_list(F.struct("x0", "text", "x1"))).alias("_w"), *starts.values())
+    text = F.lower(F.array_join(F.transform("_w", lambda w: w["text"]), " "))
+    down, whole = W.partitionBy(*PAGE).orderBy("line_y"), W.partitionBy(*PAGE).orderBy("line_y").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = rows.withColumn("_nth", F.row_number().over(down))
     said = F.col("_nth") <= HEAD_LINES
     for name in NEEDED:
-        said = said & F.col("_text").contains(name)
+        said = said & text.contains(name)
     said = said & (F.col("player") < F.col("status")) & (F.col("status") < F.col("reason"))
-    head = F.when(said, F.struct("line_y", *HEADS))
-    pages = rows.groupBy(*PAGE).agg(F.max("width").alias("width"), F.min(head).alias("_own"))
+    rows = rows.withColumn("_head", F.when(said, F.struct("line_y", *HEADS)))
+    rows = rows.withColumns({"_own": F.min("_head").over(whole), "width": F.max("width").over(whole)})
     own = F.when(F.col("_own").isNotNull(), F.struct(F.col("width"), F.col("_own")))
-    pages = pages.withColumn("_last", F.last(own, ignorenulls=True).over(W.partitionBy("doc").orderBy("page").rowsBetween(W.unboundedPreceding, -1)))
+    # where the page has none of its own, the lines before with one are those of earlier pages
+    rows = rows.withColumn("_last", F.last(own, ignorenulls=True).over(W.partitionBy("doc").orderBy("page", "line_y").rowsBetween(W.unboundedPreceding, -1)))
     fits = F.coalesce(F.abs(F.col("width") - F.col("_last.width")) <= SAME_WIDTH, F.lit(True))
     mode = F.when(F.col("_own").isNotNull(), "DETECTED_HEADER").when(F.col("_last").isNotNull() & fits, "REUSED_COLUMNS").otherwise("SKIPPED_NO_SAFE_COLUMNS")
     used = F.coalesce("_own", F.col("_last._own"))
     heads = F.array_sort(F.filter(F.array(*(F.struct(used[h].alias("x"), F.lit(h).alias("name")) for h in HEADS)), lambda h: h["x"].isNotNull()))
-    bounds = F.transform(heads, lambda h, i: F.struct(h["name"].alias("name"), F.when(i == 0, float("-inf")).otherwise((F.try_element_at(heads, i)["x"] + h["x"]) / 2).alias("from")))
-    return pages.select(*PAGE, mode.alias("mode"), F.when(mode != "SKIPPED_NO_SAFE_COLUMNS", bounds).alias("columns"))
+    rows = rows.select(*PAGE, "line_y", "_nth", "_w", mode.alias("mode"), heads.alias("_h"))
+    bounds = F.transform("_h", lambda h, i: F.struct(h["name"].alias("name"), F.when(i == 0, float("-inf")).otherwise((F.try_element_at("_h", i)["x"] + h["x"]) / 2).alias("from")))
+    # exploded from an array of one, so that what reads them for each word doesn't compute them for each word
+    return rows.withColumn("columns", F.explode(F.array(F.when(F.col("mode") != "SKIPPED_NO_SAFE_COLUMNS", bounds)))).drop("_h")
+
+
+def page_columns(lined: DataFrame) -> DataFrame:
+    """For each page: mode (DETECTED_HEADER, REUSED_COLUMNS, SKIPPED_NO_SAFE_COLUMNS) and columns (name, from) in order.
+
+    A header is one of the page's first lines that has the three needed names in order. A page without one uses the
+    last header of its document, if that page's width differs by SAME_WIDTH at most.
+    """
+    return _columned(lined).where("_nth = 1").select(*PAGE, "mode", "columns")
 
 
 def table_records(words: DataFrame) -> DataFrame:
@@ -92,14 +107,11 @@ def table_records(words: DataFrame) -> DataFrame:
     at most GOES_ON below the line before, goes on with the record above; any other line in between ends that. A
     document with one date gives it to records that have a matchup and none, marked as inferred.
     """
-    lined = _lined(words)
-    columns = page_columns(lined)
-    at = lined.join(columns.where("columns is not null"), list(PAGE))
-    middle = (F.col("x0") + F.col("x1")) / 2
-    lane = F.try_element_at(F.filter("columns", lambda c: c["from"] <= middle), F.lit(-1))["name"]
-    at = at.withColumn("_lane", lane)
-    cells = {c: _joined("x0", where=F.col("_lane") == c).alias(f"_{c}") for c in NEEDED}
-    rows = at.groupBy(*PAGE, "line_y").agg(F.first("mode").alias("mode"), _joined("x0").alias("_text"), *cells.values())
+    at = _columned(_lined(words)).where("columns is not null")
+    name_of = lambda w: F.try_element_at(F.filter("columns", lambda c: c["from"] <= (w["x0"] + w["x1"]) / 2), F.lit(-1))["name"]
+    at = at.withColumn("_w", F.transform("_w", lambda w: F.struct(w["text"].alias("text"), name_of(w).alias("lane"))))
+    said_in = lambda c: F.array_join(F.transform(F.filter("_w", lambda w: w["lane"] == c), lambda w: w["text"]), " ")
+    rows = at.select(*PAGE, "line_y", "mode", F.array_join(F.transform("_w", lambda w: w["text"]), " ").alias("_text"), *(said_in(c).alias(f"_{c}") for c in NEEDED))
     low = F.lower("_text")
     rows = rows.withColumn("_head", low.contains("player") & low.contains("status") & low.contains("reason"))
     day = F.regexp_replace(found(F.col("_text"), DAY, 1), r"^(\d{2})/(\d{2})/(\d{4})$", "$3-$1-$2")
@@ -138,8 +150,9 @@ def table_records(words: DataFrame) -> DataFrame:
     head = lambda c: F.max(F.when(F.col("_row"), F.col(c))).alias(c)
     reason = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_reason") != "", F.struct("line_y", F.col("_reason").alias("t"))))), lambda p: p["t"]), " ")
     out = rows.groupBy(*PAGE, "_nth").agg(head("line_y"), head("mode"), *(head(c) for c in (*CONTEXT, "player", "status")), F.nullif(reason, F.lit("")).alias("reason"))
-    days = out.groupBy("doc").agg(F.count_distinct("game_date").alias("_n"), F.min("game_date").alias("_only")).where("_n = 1").select("doc", "_only")
-    out = out.join(days, "doc", "left")
+    doc = W.partitionBy("doc")
+    least, most = F.min("game_date").over(doc), F.max("game_date").over(doc)
+    out = out.withColumn("_only", F.when(least == most, least))
     inferred = F.col("game_date").isNull() & F.col("matchup").isNotNull() & F.col("_only").isNotNull()
     provenance = F.when(inferred, "DOCUMENT_UNIQUE_DATE_INFERRED").when(F.col("game_date").isNotNull(), "EXPLICIT_ROW_CONTEXT").otherwise("UNRESOLVED")
     flags = all_reasons(
@@ -185,20 +198,20 @@ def recovered_reasons(records: DataFrame, words: DataFrame) -> DataFrame:
     y = F.col("y")
     rows = records.select("record_id", *PAGE, "y", F.col("reason").alias("old_reason"))
     rows = rows.withColumns({"_from": F.greatest(y - REACH, (F.lag("y").over(down) + y) / 2), "_to": F.least(y + REACH, (y + F.lead("y").over(down)) / 2)})
-    blank = rows.where(F.trim(F.coalesce("old_reason", F.lit(""))) == "")
+    given = F.trim(F.coalesce("old_reason", F.lit(""))) != ""
     lane = words.where(F.col("x0") >= F.lit(REASON_LANE) * F.col("width") / PAGE_WIDTH)
-    lane = lane.select(*PAGE, ((F.col("y0") + F.col("y1")) / 2).cast("double").alias("_c"), "x0", "y0", "y1", "text")
-    met = blank.join(lane, list(PAGE)).where("_c >= _from and _c < _to")
-    met = met.groupBy("record_id", *PAGE, "y").agg(F.array_sort(F.collect_list(F.struct("_c", "x0", "text"))).alias("_w"), F.min("y0").alias("_low"), F.max("y1").alias("_high"))
+    lane = lane.groupBy(*PAGE).agg(F.collect_list(F.struct(((F.col("y0") + F.col("y1")) / 2).cast("double").alias("_c"), "x0", "text", "y0", "y1")).alias("_lane"))
+    between = F.filter("_lane", lambda w: (w["_c"] >= F.col("_from")) & (w["_c"] < F.col("_to")))
+    met = rows.join(lane, list(PAGE), "left").withColumn("_w", F.when(~given, F.array_sort(between))).drop("_lane")
+    met = met.withColumn("_w", F.when(F.size("_w") > 0, F.col("_w")))
     opened = F.aggregate("_w", F.array().cast("array<double>"), lambda acc, w: F.when((F.size(acc) > 0) & (w["_c"] - F.try_element_at(acc, F.lit(-1)) <= LINE), acc).otherwise(F.concat(acc, F.array(w["_c"]))))
     met = met.withColumn("_open", opened)
     placed = F.transform("_w", lambda w: F.struct(F.size(F.filter("_open", lambda o: o <= w["_c"])).alias("line"), w["x0"].alias("x0"), w["_c"].alias("c"), w["text"].alias("text")))
     text = F.trim(F.array_join(F.transform(F.array_sort(placed), lambda w: w["text"]), " "))
     near = F.col("_open")[0].between(y - ABOVE, y + BELOW)
     opens = F.greatest(*(F.startswith(F.col("_said"), F.lit(o)) for o in OPENINGS))
-    met = met.withColumn("_said", text).select("record_id", *PAGE, "y", "_said", "_low", "_high", near.alias("_near"), opens.alias("_opens"))
-    out = rows.join(met, ["record_id", *PAGE, "y"], "left")
-    given = F.trim(F.coalesce("old_reason", F.lit(""))) != ""
+    low, high = F.array_min(F.transform("_w", lambda w: w["y0"])), F.array_max(F.transform("_w", lambda w: w["y1"]))
+    out = met.withColumn("_said", text).select("record_id", *PAGE, "y", "old_reason", "_said", low.alias("_low"), high.alias("_high"), near.alias("_near"), opens.alias("_opens"))
     good = F.coalesce(F.col("_near") & F.col("_opens"), F.lit(False)) & ~given
     notes = (
         F.when(given, "")
