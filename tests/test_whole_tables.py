@@ -1,8 +1,11 @@
 """Queries over whole tables, and statuses that missing or conflicting rows give."""
 
+from pyspark.sql import functions as F
+
 from tidemark import catalog
 from tidemark.operators import reconcile as rc
 from tidemark.operators import review as rv
+from tidemark.operators import targets as tg
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +28,19 @@ def test_statuses_of_missing_and_conflicting_rows(spark):
     t = lambda *x: spark.createDataFrame(x, "team long, day long, t long")
     out = rc.match_status(t((1, 1, 0), (2, 1, 0), (3, 1, 0), (4, 1, 0), (4, 1, 9)), t((1, 1, 60), (2, 1, 999), (4, 1, 0), (5, 1, 0)), ["team", "day"], "t")
     assert {(r.team, r.status) for r in out.collect()} == {(1, "MATCHED"), (2, "TIME_CONFLICT"), (3, "OFFICIAL_ONLY"), (4, "AMBIGUOUS"), (5, "PROVIDER_ONLY")}
+
+
+def test_entries_of_large_classes_meet_once(spark):
+    n = 700  # more than a block: all share a name, half of them share two
+    rows = spark.range(n).select(F.col("id").alias("candidate"), F.expr("array('x', if(id % 2 = 0, 'y', null), concat('own', id))").alias("names"))
+    entries = spark.range(n).select(F.col("id").alias("entry"), F.lit(1).alias("team"), F.explode(F.expr("if(id % 2 = 0, array('x', 'y', null), array('x', 'x'))")).alias("name"))
+    out = rv.under_any_name(rows, "names", entries, ["candidate", "entry", "team"])
+    seen = out.agg(F.count("*").alias("n"), F.count_distinct("candidate", "entry").alias("d")).first()
+    assert out.columns == ["candidate", "entry", "team"] and (seen.n, seen.d) == (n * n, n * n)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[0].startswith("Project")  # no pair is gathered again to be told apart
+
+
+def test_fields_that_differ_are_found_without_repeating_rows(spark):
+    frame = spark.createDataFrame([(1, m) for m in "ab"], "k int, method string").select("k", "method", *(F.lit(1.0).alias(c) for c in (*tg.NUMBERS, "role_change_flag", "history_group", "volatility_group")), F.lit("2024-01-02").alias("event_date"))
+    assert "Expand" not in tg.paired_faults(frame, ["k"], ("a", "b"))._jdf.queryExecution().optimizedPlan().toString()
