@@ -109,9 +109,11 @@ def paired_faults(frame: DataFrame, keys: Sequence[str], methods: Sequence[str])
     ]
     rows = frame.select(F.explode(F.array_compact(F.array(*(F.when(c, name) for c, name in checks)))).alias("fault"))
     own = F.when(F.col("method").isin(*methods), F.col("method"))
-    spread = {c: F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))) for c in SHARED}
-    by = frame.groupBy(*keys).agg(F.count(own).alias("_n"), F.count_distinct(own).alias("_d"), *(n.alias(f"_{c}") for c, n in spread.items()))
+    # whether values differ is told by the least and the greatest, and methods by a mark each: no row is repeated by distinct counts
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in SHARED}
+    marks = [F.coalesce(F.max((F.col("method") == m).cast("int")), F.lit(0)) for m in dict.fromkeys(methods)]
+    by = frame.groupBy(*keys).agg(F.count(own).alias("_n"), sum(marks[1:], marks[0]).alias("_d"), *((F.min(t) != F.max(t)).alias(f"_{c}") for c, t in text.items()))
     single = (F.col("_n") == len(methods)) & (F.col("_d") == len(methods))
-    of_key = [(F.col("_n") > F.col("_d"), "DUPLICATE_METHOD_ROW"), (F.col("_d") != len(methods), "UNPAIRED"), *((single & (F.col(f"_{c}") > 1), f"{c.upper()}_DIFFERS") for c in SHARED)]
+    of_key = [(F.col("_n") > F.col("_d"), "DUPLICATE_METHOD_ROW"), (F.col("_d") != len(methods), "UNPAIRED"), *((single & F.col(f"_{c}"), f"{c.upper()}_DIFFERS") for c in SHARED)]
     groups = by.select(F.explode(F.array_compact(F.array(*(F.when(c, name) for c, name in of_key)))).alias("fault"))
     return rows.unionByName(groups).groupBy("fault").agg(F.count("*").alias("n"))
