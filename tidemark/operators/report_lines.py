@@ -136,8 +136,9 @@ def verified(rows: DataFrame, events: DataFrame) -> DataFrame:
         out = out.withColumns({f"_p_{c}": F.regexp_extract(prov, PROVENANCE, 1).try_cast("int"), f"_y_{c}": F.regexp_extract(prov, PROVENANCE, 2).try_cast("double")})
     named = F.array(*(F.struct(F.lit(kind).alias("type"), F.col(f"_p_{c}").alias("page"), F.col(f"_y_{c}").alias("y"), F.col(c).alias("value")) for c, kind in kinds.items()))
     asked = out.select("record_id", "doc", F.explode(named).alias("a")).where("a.page is not null").select("record_id", "doc", "a.type", "a.page", "a.value", F.col("a.y").alias("_y"))
-    asked = asked.withColumn("_cell", F.explode(F.array(*(cell(F.col("_y")) + k for k in (-1, 0, 1)))))
-    there = events.select("doc", "page", "type", F.col("y").alias("_e"), "value", cell(F.col("y")).alias("_cell"))
+    # events look into three cells, not rows: they are fewer, and rows ask for three kinds each
+    asked = asked.withColumn("_cell", cell(F.col("_y")))
+    there = events.select("doc", "page", "type", F.col("y").alias("_e"), "value", F.explode(F.array(*(cell(F.col("y")) + k for k in (-1, 0, 1)))).alias("_cell"))
     hits = asked.join(there, ["doc", "type", "page", "value", "_cell"]).where(F.abs(F.col("_e") - F.col("_y")) < WITHIN)
     out = out.join(hits.groupBy("record_id").agg(F.collect_set("type").alias("_hits")), "record_id", "left")
     checks = []
